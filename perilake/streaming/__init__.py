@@ -1,0 +1,5 @@
+"""Intentionally empty: the feature set is batch and change-log only.
+
+Late and replayed data are handled by ordering inside the change log, see
+``perilake.operators.changes``.
+"""
