@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------
 HIGH = ("first_name", "last_name", "date_of_birth", "email", "phone", "description",
@@ -69,6 +70,11 @@ def classify(column: str) -> tuple[str, bool]:
 
 
 def pii_columns(frame: DataFrame) -> DataFrame:
-    """Classification of every column of a table, one row each."""
-    rows = [(c, *classify(c)) for c in frame.columns]
-    return frame.sparkSession.createDataFrame(rows, "column_name string, sensitivity string, personal boolean")
+    """Every column with its classification and the number of values it exposes (non-null)."""
+    filled = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
+    rows = []
+    for c in frame.columns:
+        sensitivity, personal = classify(c)
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(sensitivity).alias("sensitivity"),
+                             F.lit(personal).alias("personal"), F.col(c).alias("exposed_values")))
+    return filled.select(F.inline(F.array(*rows)))

@@ -270,11 +270,14 @@ def governed_view(t: Tables) -> DataFrame:
     return governance.governed_view(gold, "Analyst", "fact_claim_enriched").withColumns(as_double("claim_amount"))
 
 
-@query(sql="""SELECT column_name, sensitivity, personal FROM (VALUES ('customer_id', 'MEDIUM', true), ('claim_id', 'MEDIUM', true), ('policy_id', 'MEDIUM', true),
- ('claim_amount', 'MEDIUM', false), ('description', 'HIGH', true), ('broker_name', 'LOW', false), ('claim_status', 'LOW', false)) v(column_name, sensitivity, personal)""")
+@query(sql=f"""WITH {ENRICHED} SELECT * FROM (
+ SELECT 'customer_id' AS column_name, 'MEDIUM' AS sensitivity, true AS personal, count(customer_id) AS exposed_values FROM enriched
+ UNION ALL SELECT 'claim_id', 'MEDIUM', true, count(claim_id) FROM enriched UNION ALL SELECT 'policy_id', 'MEDIUM', true, count(policy_id) FROM enriched
+ UNION ALL SELECT 'approved_amount', 'MEDIUM', false, count(approved_amount) FROM enriched UNION ALL SELECT 'description', 'HIGH', true, count(product_name) FROM enriched
+ UNION ALL SELECT 'broker_name', 'LOW', false, count(broker_name) FROM enriched)""")
 def pii_columns(t: Tables) -> DataFrame:
     gold = enriched_claims(t).withColumnRenamed("product_name", "description").select(
-        "claim_id", "policy_id", "customer_id", "broker_name", "claim_status", "claim_amount", "description")
+        "claim_id", "policy_id", "customer_id", "broker_name", "approved_amount", "description")
     return governance.pii_columns(gold)
 
 
