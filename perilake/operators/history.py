@@ -1,68 +1,57 @@
-"""Point-in-time history: prior-window features and status intervals."""
+"""Point-in-time history: prior-window features, status intervals and validity overlap."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.temporal import DAY_MICROS, micros
 
 
 def prior_sums(
-    frame: DataFrame, *, key: str, time: str, row: str, measures: Mapping[str, str], days: Sequence[int],
-    bucket_days: float = 30,
+    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int], bucket_days: float = 30,
 ) -> DataFrame:
     """For each row: sums of ``measures`` over the same key in [t - N days, t), per N.
 
     Output columns are ``<measure>_<N>d``. The row itself and rows at the same instant are
-    excluded.
+    excluded, so the answer depends only on (key, time) and is computed once per such point.
 
     A frame over one window per key would put a key with a third of all rows into one task.
-    Here each row asks for "sum strictly before x" at x = t and x = t - N days, and the
-    difference is the answer. Questions and values are swept in time order per (key, time
-    bucket), and the totals of earlier buckets come from one row per (key, bucket).
+    Here each point asks for "sum strictly before x" at x = t and x = t - N days, and the
+    difference is the answer. Rows are first added up per point (map-side). Questions and
+    values are then swept in time order per (key, time bucket), and the totals of earlier
+    buckets come from one row per (key, bucket). The final join meets one answer per row.
     """
-    width = int(bucket_days * DAY_MICROS)
-    bucket = lambda at: F.floor(at / width)
     names = list(measures)
-    base = frame.select(
-        F.col(key).alias("_k"), micros(time).alias("_t"), F.col(row).alias("_row"),
-        *[F.col(c).alias(f"_v_{m}") for m, c in measures.items()],
+    points = (
+        frame.select(F.col(key).alias("_k"), micros(time).alias("_t"), *[F.col(c).alias(f"_v_{m}") for m, c in measures.items()])
+        .groupBy("_k", "_t").agg(*[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names])
     )
-    values = [F.col(f"_v_{m}") for m in names]
-    zeros = [F.lit(0).cast(base.schema[f"_v_{m}"].dataType).alias(f"_v_{m}") for m in names]
+    zeros = [F.lit(0).cast(points.schema[f"_v_{m}"].dataType).alias(f"_v_{m}") for m in names]
+    bucket = F.floor(F.col("_x") / int(bucket_days * DAY_MICROS)).alias("_b")
 
     # Kind 0 asks, kind 1 adds; at equal time questions come first, so "before" is strict.
-    adds = base.select("_k", F.col("_t").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast(base.schema["_row"].dataType).alias("_row"),
-                       F.lit(None).cast("int").alias("_back"), *values)
-    backs = F.explode(F.array(*[F.lit(n) for n in (0, *days)])).alias("_back")
-    asks = (
-        base.select("_k", "_t", "_row", backs)
-        .select("_k", (F.col("_t") - F.col("_back") * F.lit(DAY_MICROS)).alias("_x"), F.lit(0).alias("_kind"), "_row", "_back", *zeros)
+    adds = points.select("_k", F.col("_t").alias("_x"), F.lit(1).alias("_kind"), F.lit(0).alias("_back"), *[f"_v_{m}" for m in names])
+    asks = points.withColumn("_back", F.explode(F.array(*[F.lit(n) for n in (0, *days)]))).select(
+        "_k", (F.col("_t") - F.col("_back") * F.lit(DAY_MICROS)).alias("_x"), F.lit(0).alias("_kind"), "_back", *zeros
     )
-    swept = adds.unionByName(asks).withColumn("_b", bucket(F.col("_x")))
+    swept = adds.unionByName(asks).select("*", bucket)
 
-    in_bucket = Window.partitionBy("_k", "_b").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = swept.withColumns({f"_s_{m}": F.sum(f"_v_{m}").over(in_bucket) for m in names}).filter("_kind = 0")
-
-    per_bucket = adds.withColumn("_b", bucket(F.col("_x"))).groupBy("_k", "_b").agg(
-        *[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names]
-    )
-    asked = asks.select("_k", bucket(F.col("_x")).alias("_b")).distinct().select("_k", "_b", *[z for z in zeros])
-    buckets = per_bucket.unionByName(asked, allowMissingColumns=True).groupBy("_k", "_b").agg(
-        *[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names]
-    )
+    totals = swept.groupBy("_k", "_b").agg(*[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names])
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("_k", "_b", *[F.coalesce(F.sum(f"_v_{m}").over(earlier), F.lit(0)).alias(f"_c_{m}") for m in names])
+    starts = totals.select("_k", "_b", *[F.coalesce(F.sum(f"_v_{m}").over(earlier), F.lit(0)).alias(f"_c_{m}") for m in names])
 
+    in_bucket = Window.partitionBy("_k", "_b").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = swept.withColumns({f"_s_{m}": F.sum(f"_v_{m}").over(in_bucket) for m in names}).filter("_kind = 0")
     answered = local.join(starts, ["_k", "_b"]).select(
-        "_row", "_back", *[(F.col(f"_s_{m}") + F.col(f"_c_{m}")).alias(f"_a_{m}") for m in names]
+        "_k", (F.col("_x") + F.col("_back") * F.lit(DAY_MICROS)).alias("_t"), "_back",
+        *[(F.col(f"_s_{m}") + F.col(f"_c_{m}")).alias(f"_a_{m}") for m in names],
     )
-    at = lambda m, n: F.sum(F.when(F.col("_back") == n, F.col(f"_a_{m}")))
-    wide = answered.groupBy("_row").agg(*[(at(m, 0) - at(m, n)).alias(f"{m}_{n}d") for m in names for n in days])
-    return frame.join(wide, F.col(row) == F.col("_row"), "left").drop("_row")
+    at = lambda m, n: F.max(F.when(F.col("_back") == n, F.col(f"_a_{m}")))
+    wide = answered.groupBy("_k", "_t").agg(*[(at(m, 0) - at(m, n)).alias(f"{m}_{n}d") for m in names for n in days])
+    return frame.join(wide, (F.col(key) == F.col("_k")) & (micros(time) == F.col("_t")), "left").drop("_k", "_t")
 
 
 def prior_window(
@@ -79,20 +68,63 @@ def prior_window(
     })
 
 
-def status_history(changes: DataFrame, *, key: str, status: str, time: str, tie: str) -> DataFrame:
+def neighbour(
+    frame: DataFrame, *, key: str, bucket: str, order: Sequence[str], value: str, name: str, following: bool = False,
+) -> DataFrame:
+    """``lag`` (or ``lead``) of a column per key, computed per (key, bucket).
+
+    ``bucket`` must grow with ``order``. Only the first row of a bucket looks outside it, and it
+    takes the edge value of the nearest other bucket, from one row per (key, bucket). A key with
+    very many rows is therefore spread over its buckets.
+    """
+    place = F.struct(*order)
+    edge = (F.min_by if following else F.max_by)(F.struct(value), place)
+    inside = Window.partitionBy(key, bucket).orderBy(*[F.col(c).desc() if following else F.col(c) for c in order])
+    across = Window.partitionBy(key).orderBy(F.col(bucket).desc() if following else F.col(bucket))
+    edges = frame.groupBy(key, bucket).agg(edge.alias("_edge")).select(key, bucket, F.lag("_edge").over(across).alias("_edge"))
+    local = frame.withColumns({"_near": F.lag(value).over(inside), "_nth": F.row_number().over(inside)})
+    found = F.when(F.col("_nth") == 1, F.col(f"_edge.{value}")).otherwise(F.col("_near"))
+    return local.join(edges, [key, bucket]).withColumn(name, found).drop("_near", "_nth", "_edge")
+
+
+def status_history(
+    changes: DataFrame, *, key: str, status: str, time: str, tie: str, bucket_days: float = 30,
+) -> DataFrame:
     """Intervals [valid_from, valid_to) per status change; the last one is open.
 
     A change to the status already held is not a transition and is merged into its interval.
     """
-    w = Window.partitionBy(key).orderBy(time, tie)
-    moves = changes.withColumn("previous_status", F.lag(status).over(w)).filter(
-        ~F.col("previous_status").eqNullSafe(F.col(status))
-    )
-    return moves.select(
-        key, "previous_status", F.col(status).alias("status"), F.col(time).alias("valid_from"),
-        F.lead(time).over(w).alias("valid_to"), F.col(tie).alias("source_order"),
+    width = int(bucket_days * DAY_MICROS)
+    bucketed = changes.filter(F.col(key).isNotNull()).withColumn("_b", F.floor(micros(time) / width))
+    seen = neighbour(bucketed, key=key, bucket="_b", order=[time, tie], value=status, name="previous_status")
+    moves = seen.filter(~F.col("previous_status").eqNullSafe(F.col(status)))
+    closed = neighbour(moves, key=key, bucket="_b", order=[time, tie], value=time, name="valid_to", following=True)
+    return closed.select(
+        key, "previous_status", F.col(status).alias("status"), F.col(time).alias("valid_from"), "valid_to", F.col(tie).alias("source_order")
     )
 
 
-def tenure_days(as_of: str, since: str):
+def overlapping_validity(
+    versions: DataFrame, *, key: str, start: str, end: str, bucket_days: float = 365,
+) -> DataFrame:
+    """Versions that start before an earlier version of the same key has ended.
+
+    An open end never ends. The running maximum of ends catches overlap with any earlier
+    version, not only the neighbour; earlier buckets contribute their own maximum.
+    """
+    forever = F.lit("9999-12-31").cast("timestamp")
+    until = F.coalesce(F.col(end).cast("timestamp"), forever)
+    rows = versions.withColumns({
+        "_until": until, "_b": F.floor(micros(start) / int(bucket_days * DAY_MICROS)),
+    })
+    before = lambda *by: Window.partitionBy(key, *by)
+    inside = before("_b").orderBy(start, "_until").rowsBetween(Window.unboundedPreceding, -1)
+    across = before().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(key, "_b").agg(F.max("_until").alias("_edge")).select(key, "_b", F.max("_edge").over(across).alias("_edge"))
+    seen = rows.withColumn("_near", F.max("_until").over(inside)).join(edges, [key, "_b"])
+    overlap = F.col(start).cast("timestamp") < F.greatest("_near", "_edge")
+    return seen.filter(overlap).drop("_until", "_b", "_near", "_edge")
+
+
+def tenure_days(as_of: str, since: str) -> Column:
     return F.datediff(F.col(as_of), F.col(since))

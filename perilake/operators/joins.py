@@ -198,58 +198,53 @@ def asof_join(
 ) -> DataFrame:
     """Add the newest version at or before each fact's time, or NULL.
 
-    Facts and versions are stacked and carried forward per (key, time bucket), so a key with a
-    third of all rows is spread over its buckets; choose the bucket so one of them fits a task.
-    What a bucket inherits is the newest version of earlier buckets, computed from one row per
+    The answer depends only on (key, time), so facts are first reduced to their distinct
+    points; rows at one point, even a third of the table, ask once. Points and versions are
+    stacked and carried forward per (key, time bucket), so a busy key is spread over its
+    buckets. What a bucket inherits is the newest version of earlier buckets, from one row per
     (key, bucket). No fact meets more than the version it takes.
 
     ``effective_to`` drops the taken version when the fact is at or past its end. ``tie``
     settles versions with equal time. ``take`` maps output names to version columns.
     """
     width = int(bucket_days * DAY_MICROS)
+    bucket = F.floor(F.col("_t") / width).alias("_b")
     payload = F.struct(
         F.col("_t").alias("t"),
         (F.col(tie) if tie else F.lit(0)).alias("tie"),
         *[F.col(c).alias(name) for name, c in take.items()],
         *([micros(effective_to).alias("ends")] if effective_to else []),
     )
-    keyed_versions = (
+    keyed = (
         versions.withColumn("_t", micros(version_time)).filter(F.col("_t").isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("_k"), "_t", F.floor(F.col("_t") / width).alias("_b"), payload.alias("_version"))
+        .select(F.col(key).alias("_k"), "_t", bucket, payload.alias("_version"), F.lit(1).alias("_kind"))
     )
-    fact_columns = facts.columns
-    keyed_facts = facts.select(
-        F.col(key).alias("_k"), micros(time).alias("_t"), F.floor(micros(time) / width).alias("_b"),
-        F.struct(*fact_columns).alias("_fact"),
+    empty = F.lit(None).cast(keyed.schema["_version"].dataType).alias("_version")
+    points = facts.select(F.col(key).alias("_k"), micros(time).alias("_t")).dropna().distinct().select(
+        "_k", "_t", bucket, empty, F.lit(2).alias("_kind")
     )
+    stacked = points.unionByName(keyed)
 
-    newest = keyed_versions.groupBy("_k", "_b").agg(F.max("_version").alias("_version"))
-    asked = keyed_facts.select("_k", "_b").distinct().withColumn("_version", F.lit(None).cast(newest.schema["_version"].dataType))
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = asked.unionByName(newest).groupBy("_k", "_b").agg(F.max("_version").alias("_version"))
-    inherited = per_bucket.withColumn("_version", F.last("_version", ignorenulls=True).over(earlier)).filter(
+    newest = stacked.groupBy("_k", "_b").agg(F.max("_version").alias("_version"))
+    inherited = newest.select("_k", "_b", F.last("_version", ignorenulls=True).over(earlier).alias("_version")).filter(
         F.col("_version").isNotNull()
-    )
+    ).select("_k", F.lit(None).cast("long").alias("_t"), "_b", "_version", F.lit(0).alias("_kind"))
 
-    nothing = F.lit(None)
-    stacked = (
-        keyed_facts.withColumn("_version", nothing.cast(newest.schema["_version"].dataType)).withColumn("_kind", F.lit(2))
-        .unionByName(keyed_versions.withColumns({"_fact": nothing.cast(keyed_facts.schema["_fact"].dataType), "_kind": F.lit(1)}))
-        .unionByName(inherited.withColumns({
-            "_t": F.lit(None).cast("long"), "_fact": nothing.cast(keyed_facts.schema["_fact"].dataType), "_kind": F.lit(0),
-        }))
-    )
-    # NULL time (the inherited version) sorts first, then versions before facts of equal time.
+    # NULL time (the inherited version) sorts first, then versions before points of equal time.
     inside = Window.partitionBy("_k", "_b").orderBy(
         F.col("_t").asc_nulls_first(), "_kind", F.col("_version").asc_nulls_first()
     ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = stacked.withColumn("_version", F.last("_version", ignorenulls=True).over(inside)).filter("_kind = 2")
+    answered = (
+        stacked.unionByName(inherited)
+        .withColumn("_version", F.last("_version", ignorenulls=True).over(inside))
+        .filter(F.col("_kind") == 2)
+    )
     valid = F.lit(True)
     if effective_to:
         valid = F.col("_version.ends").isNull() | (F.col("_t") < F.col("_version.ends"))
-    return carried.select(
-        "_fact.*", *[F.when(valid, F.col(f"_version.{name}")).alias(name) for name in take]
-    )
+    taken = answered.select("_k", "_t", *[F.when(valid, F.col(f"_version.{name}")).alias(name) for name in take])
+    return facts.join(taken, (F.col(key) == F.col("_k")) & (micros(time) == F.col("_t")), "left").drop("_k", "_t")
 
 
 def future_reference_count(facts: DataFrame, versions: DataFrame, *, key: str, time: str, version_time: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.text import is_object_uri, present
+from perilake.session import durable
 
 # Results per question; questions compared in one pass over the index.
 TOP_K = 4
@@ -59,36 +61,36 @@ def nearest_chunks(
 ) -> DataFrame:
     """Top-k cosine matches per question: (query_id, key, score, rank), exact.
 
-    Questions are few next to the index. They are read in blocks of QUERY_BLOCK, each block is
-    shipped with the scan, and every index partition returns only its best k rows per
-    question. So no pair is materialised, the shuffle carries at most k rows per question and
-    partition, and more questions mean more scans rather than a bigger broadcast.
+    Questions are few next to the index. They are taken in blocks of QUERY_BLOCK; a block is
+    shipped with one scan of the index, and every index partition returns only its best k rows
+    per question. So no pair is materialised and the shuffle carries at most k rows per
+    question and partition. With several blocks each block's answers are made durable before
+    the next is read: more questions mean more scans, never a bigger driver or task.
     """
     id_type = index.schema[key].dataType
     arrow_id = pa.string() if id_type.simpleString() == "string" else pa.int64()
+    id_name = "string" if arrow_id == pa.string() else "bigint"
     side = index.filter(F.col(embedding).isNotNull()).select(
-        F.col(key).cast("string" if arrow_id == pa.string() else "long").alias("id"),
-        F.col(embedding).cast("array<float>").alias("embedding"),
+        F.col(key).cast(id_name).alias("id"), F.col(embedding).cast("array<float>").alias("embedding")
     )
-    schema = f"query_id string, id {'string' if arrow_id == pa.string() else 'bigint'}, score double"
-    partial = None
-    block: list = []
+    schema = f"query_id string, id {id_name}, score double"
+    wanted = queries.select(F.col(query_key).cast("string"), F.col(embedding).cast("array<double>"))
 
-    def flush(rows: list) -> DataFrame:
-        matrix = np.asarray([r[1] for r in rows], dtype=np.float64)
-        return side.mapInArrow(_partial_top_k([r[0] for r in rows], matrix, arrow_id, k), schema)
+    def answer(block: list) -> DataFrame:
+        matrix = np.asarray([vector for _, vector in block], dtype=np.float64)
+        partial = side.mapInArrow(_partial_top_k([name for name, _ in block], matrix, arrow_id, k), schema)
+        return top_k_per_query(partial, "query_id", "score", "id", k).withColumnRenamed("id", key)
 
-    wanted = queries.select(F.col(query_key).cast("string"), F.col(embedding).cast("array<double>"))
+    done: list[DataFrame] = []
+    block: list = []
     for row in wanted.toLocalIterator():
-        block.append((row[0], row[1]))
         if len(block) == QUERY_BLOCK:
-            partial = flush(block) if partial is None else partial.unionByName(flush(block))
+            done.append(durable(answer(block)))
             block = []
-    if block:
-        partial = flush(block) if partial is None else partial.unionByName(flush(block))
-    if partial is None:
-        partial = side.sparkSession.createDataFrame([], schema)
-    return top_k_per_query(partial, "query_id", "score", "id", k).withColumnRenamed("id", key)
+        block.append((row[0], row[1]))
+    if block or not done:
+        done.append(answer(block) if block else index.sparkSession.createDataFrame([], f"query_id string, {key} {id_name}, score double, rank int"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def top_k_per_query(scored: DataFrame, query: str, score: str, tie: str, k: int = TOP_K) -> DataFrame:

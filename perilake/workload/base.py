@@ -84,6 +84,8 @@ def claim_lines(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("claim_category"),
         F.col("l_linestatus").alias("currency_code"),
         F.col("l_shipdate").alias("submitted_at"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
         F.col("l_extendedprice").cast(MONEY).alias("claim_amount"),
         F.when(F.col("l_linestatus") == "F", approved.cast(MONEY)).alias("approved_amount"),
     )
@@ -92,7 +94,7 @@ def claim_lines(t: Tables) -> DataFrame:
 CLAIM_LINES = """claim_lines AS (
   SELECT l_orderkey || '-' || l_linenumber AS claim_id, l_orderkey AS policy_id, l_partkey AS product_id,
          l_suppkey AS broker_id, l_linenumber AS line_number, l_returnflag AS claim_category,
-         l_linestatus AS currency_code, l_shipdate AS submitted_at,
+         l_linestatus AS currency_code, l_shipdate AS submitted_at, l_discount AS discount, l_tax AS tax,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS claim_amount,
          CASE WHEN l_linestatus = 'F' THEN CAST(
            (CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) // 100
@@ -111,8 +113,8 @@ def enriched_claims(t: Tables) -> DataFrame:
                 "incident_date": F.to_date("o_orderdate"), "annual_premium_amount": F.col("o_totalprice").cast(MONEY)}),
             Dimension(t.customer, "c_custkey", "customer_id", how="inner", columns={"coverage_tier": "c_mktsegment"}),
             Dimension(t.part, "p_partkey", "product_id", columns={
-                "product_type": "p_type", "product_category": "p_brand", "product_name": "p_name"}),
-            Dimension(t.supplier, "s_suppkey", "broker_id", columns={"broker_name": "s_name", "branch_id": "s_nationkey"}),
+                "product_type": "p_type", "product_category": "p_brand", "product_name": "p_name", "product_size": "p_size"}),
+            Dimension(t.supplier, "s_suppkey", "broker_id", columns={"broker_name": "s_name", "branch_id": "s_nationkey", "broker_balance": "s_acctbal"}),
             Dimension(t.nation, "n_nationkey", "branch_id", columns={"branch_name": "n_name", "region_key": "n_regionkey"}),
             Dimension(t.region, "r_regionkey", "region_key", columns={"broker_region_code": "r_name"}),
         ],
@@ -123,8 +125,8 @@ ENRICHED = CLAIM_LINES + """,
 enriched AS (
   SELECT c.*, o_custkey AS customer_id, o_orderstatus AS claim_status, o_orderpriority AS overall_risk_band,
          CAST(o_orderdate AS DATE) AS incident_date, CAST(o_totalprice AS DECIMAL(18,2)) AS annual_premium_amount,
-         c_mktsegment AS coverage_tier, p_type AS product_type, p_brand AS product_category, p_name AS product_name,
-         s_name AS broker_name, s_nationkey AS branch_id, n_name AS branch_name, n_regionkey AS region_key,
+         c_mktsegment AS coverage_tier, p_type AS product_type, p_brand AS product_category, p_name AS product_name, p_size AS product_size,
+         s_name AS broker_name, s_nationkey AS branch_id, s_acctbal AS broker_balance, n_name AS branch_name, n_regionkey AS region_key,
          r_name AS broker_region_code, CASE WHEN c.currency_code = 'F' THEN p_type END AS vehicle_risk_category
   FROM claims c JOIN orders ON c.policy_id = o_orderkey JOIN customer ON o_custkey = c_custkey
   LEFT JOIN part ON product_id = p_partkey LEFT JOIN supplier ON broker_id = s_suppkey

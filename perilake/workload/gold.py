@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilake.operators import contracts, governance, joins, marts, quality
+from perilake.operators import contracts, governance, history, joins, marts, quality
 from perilake.operators.contracts import Rule
 from perilake.operators.dedup import latest_per_key
 from perilake.operators.quality import IsUnique
@@ -25,7 +25,7 @@ SELECT claim_id, policy_id, customer_id, product_id, product_type, product_categ
        CAST(approved_amount AS DOUBLE) AS approved_amount, CAST(annual_premium_amount AS DOUBLE) AS annual_premium_amount
 FROM enriched""")
 def enriched_fact(t: Tables) -> DataFrame:
-    return enriched_claims(t).drop("region_key", "line_number").withColumns({
+    return enriched_claims(t).drop("region_key", "line_number", "discount", "tax", "product_size", "broker_balance").withColumns({
         "incident_date": day("incident_date"), "submitted_at": instant("submitted_at"),
         "vehicle_risk_category": F.coalesce("vehicle_risk_category", F.lit("")),
         **as_double("claim_amount", "approved_amount", "annual_premium_amount"),
@@ -364,4 +364,4 @@ def validity_overlap(t: Tables) -> DataFrame:
     start = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     periods = t.orders.select(F.col("o_custkey").alias("key"), start.alias("start_us"), (start + cents("o_totalprice") * 300000).alias("end_us"))
     timed = periods.withColumns({"from": F.timestamp_micros("start_us"), "to": F.timestamp_micros("end_us")})
-    return marts.overlapping_validity(timed, "key", "from", "to").select("key", "start_us", "end_us")
+    return history.overlapping_validity(timed, key="key", start="from", end="to").select("key", "start_us", "end_us")

@@ -91,9 +91,9 @@ AUC_SQL = """SELECT count(*) FILTER ({y} = 1) AS positives, count(*) FILTER ({y}
  FROM (SELECT *, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2 AS r FROM {f})"""
 
 
-@query(sql="WITH h AS (SELECT *, (o_totalprice > 300000)::INT AS y, o_custkey % 97 AS s FROM orders) " + AUC_SQL.format(y="y", s="s", f="h"))
+@query(sql="WITH h AS (SELECT *, (o_totalprice > 300000)::INT AS y, o_custkey AS s FROM orders) " + AUC_SQL.format(y="y", s="s", f="h"))
 def auc(t: Tables) -> DataFrame:
-    rows = t.orders.select((F.col("o_totalprice") > 300000).cast("int").alias("y"), (F.col("o_custkey") % 97).alias("s"))
+    rows = t.orders.select((F.col("o_totalprice") > 300000).cast("int").alias("y"), F.col("o_custkey").alias("s"))
     return metrics.auc(rows, "y", "s").withColumn("auc", F.round("auc", 9))
 
 
@@ -146,43 +146,39 @@ def feature_vector(t: Tables) -> DataFrame:
 
 def risk_rows(t: Tables) -> DataFrame:
     """Claims in the shape of the feature table: every contract column, from the given tables."""
-    unit = lambda c, m: (F.col(c) % m) / F.lit(float(m))
-    base = enriched_claims(t)
-    return base.select(
+    choose = lambda condition, yes, no: F.when(condition, yes).otherwise(no)
+    return enriched_claims(t).select(
         "claim_id", "policy_id", "customer_id", "broker_id", "incident_date", "submitted_at", "claim_amount",
         (F.col("claim_category") == "R").cast("int").alias("high_risk_claim"),
-        (F.col("broker_id") % 30).cast("int").alias("years_experience"),
-        unit("branch_id", 25).alias("catastrophe_risk_score"), unit("broker_id", 10).alias("region_theft_risk_score"),
-        unit("product_id", 100).alias("weather_risk_score"), unit("customer_id", 50).alias("accident_risk_score"),
-        F.lit(500).alias("deductible_aud"), F.col("annual_premium_amount").alias("coverage_limit_aud"),
+        F.col("product_size").alias("years_experience"),
+        (F.col("branch_id") / 25).alias("catastrophe_risk_score"), F.col("discount").alias("region_theft_risk_score"),
+        (F.col("product_size") / 50).alias("weather_risk_score"), F.col("tax").alias("accident_risk_score"),
+        F.col("discount").alias("deductible_aud"), F.col("annual_premium_amount").alias("coverage_limit_aud"),
         (F.col("currency_code") == "F").cast("int").alias("optional_flag"), F.col("annual_premium_amount").alias("market_value_aud"),
-        (F.col("product_id") % 5 + 1).cast("int").alias("safety_rating"), (F.col("product_id") % 20).cast("int").alias("vehicle_age"),
-        F.when(F.col("product_type") == "PROMO", "auto").when(F.col("product_type") == "SMALL", "HOME").otherwise(F.col("product_type")).alias("product_type"),
-        F.when(F.col("claim_status") == "O", "LOW").otherwise("HIGH").alias("product_risk_tier"),
-        F.when(F.col("broker_id") % 2 == 0, "gold").otherwise("SILVER").alias("broker_tier"),
-        F.when(F.col("claim_category") == "A", "FIRE").otherwise("THEFT").alias("claim_category"),
-        F.when(F.col("overall_risk_band") == "1-URGENT", "HIGH").otherwise("LOW").alias("overall_risk_band"),
-        F.when(F.col("coverage_tier") == "BUILDING", "BASIC").otherwise("PLUS").alias("coverage_tier"),
-        F.lit("MEDIUM").alias("repair_cost_band"), F.lit("LOW").alias("theft_risk_band"),
+        F.ceil(F.col("product_size") / 10).cast("int").alias("safety_rating"), F.col("product_size").alias("vehicle_age"),
+        choose(F.col("product_type") == "PROMO", "auto", choose(F.col("product_type") == "SMALL", "HOME", F.col("product_type"))).alias("product_type"),
+        choose(F.col("claim_status") == "O", "LOW", "HIGH").alias("product_risk_tier"),
+        choose(F.col("broker_balance") >= 5000, "gold", "SILVER").alias("broker_tier"),
+        choose(F.col("claim_category") == "A", "FIRE", "THEFT").alias("claim_category"),
+        choose(F.col("overall_risk_band") == "1-URGENT", "HIGH", "LOW").alias("overall_risk_band"),
+        choose(F.col("coverage_tier") == "BUILDING", "BASIC", "PLUS").alias("coverage_tier"),
+        choose(F.col("discount") > 0.05, "MEDIUM", "LOW").alias("repair_cost_band"), choose(F.col("tax") > 0.04, "MEDIUM", "LOW").alias("theft_risk_band"),
         F.coalesce("vehicle_risk_category", F.lit("STANDARD")).alias("vehicle_risk_category"),
     )
 
 
-RISK = ENRICHED + """, risk AS (SELECT claim_id, policy_id, incident_date, submitted_at, claim_amount, (claim_category = 'R')::INT AS y, broker_id % 30 AS years_experience,
- (branch_id % 25) / 25.0::DOUBLE AS cat, (customer_id % 50) / 50.0::DOUBLE AS acc, annual_premium_amount, product_id, product_type, broker_id, currency_code, claim_category,
- overall_risk_band, coverage_tier, vehicle_risk_category, claim_status,
- date_diff('day', incident_date, CAST(submitted_at AS DATE)) AS delay FROM enriched)"""
+RISK = ENRICHED + """, risk AS (SELECT *, (claim_category = 'R')::INT AS y, date_diff('day', incident_date, CAST(submitted_at AS DATE)) AS delay FROM enriched)"""
 
 
 @query(sql=f"""WITH {RISK} SELECT claim_id, y AS high_risk_claim, CAST(claim_amount AS DOUBLE) AS claim_amount, CAST(delay AS DOUBLE) AS reporting_delay_days,
- CAST(years_experience AS DOUBLE) AS years_experience, round(acc, 6) AS accident_risk_score, CAST(product_id % 20 AS DOUBLE) AS vehicle_age,
+ CAST(product_size AS DOUBLE) AS years_experience, tax AS accident_risk_score, CAST(product_size AS DOUBLE) AS vehicle_age,
  (product_type = 'PROMO')::DOUBLE AS "product_type__AUTO", (product_type = 'SMALL')::DOUBLE AS "product_type__HOME", (product_type NOT IN ('PROMO', 'SMALL'))::DOUBLE AS "product_type__OTHER",
- (broker_id % 2 = 0)::DOUBLE AS "broker_tier__GOLD", (coalesce(vehicle_risk_category, 'STANDARD') = 'STANDARD')::DOUBLE AS "vehicle_risk_category__STANDARD", 54 AS feature_count FROM risk""")
+ (broker_balance >= 5000)::DOUBLE AS "broker_tier__GOLD", (coalesce(vehicle_risk_category, 'STANDARD') = 'STANDARD')::DOUBLE AS "vehicle_risk_category__STANDARD", 54 AS feature_count FROM risk""")
 def claim_feature_matrix(t: Tables) -> DataFrame:
     """The 54-feature contract on every claim."""
     vectors = features.vectorize(risk_rows(t))
     return vectors.select(
-        "claim_id", "high_risk_claim", "claim_amount", "reporting_delay_days", "years_experience", F.round("accident_risk_score", 6).alias("accident_risk_score"),
+        "claim_id", "high_risk_claim", "claim_amount", "reporting_delay_days", "years_experience", "accident_risk_score",
         "vehicle_age", "product_type__AUTO", "product_type__HOME", "product_type__OTHER", "broker_tier__GOLD", "vehicle_risk_category__STANDARD",
         F.lit(len(vectors.columns) - 2).alias("feature_count"))
 
@@ -216,12 +212,13 @@ def iso_event_times(t: Tables) -> DataFrame:
     return t.events.select("event_id", iso_event_time(text).alias("event_time"))
 
 
-@query(sql=f"""WITH {CLAIM_LINES}, d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem)
-SELECT (SELECT count(*) FROM lineitem) AS row_count, 'feature-set' AS prefix, 28 AS version_length""")
+@query(sql="""WITH h AS (SELECT sha256(concat_ws('||', l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_quantity AS BIGINT))) AS h FROM lineitem),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS s0, sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS s1,
+ sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)) AS s2, sum(CAST('0x' || substr(h, 49, 15) AS BIGINT)) AS s3 FROM h)
+SELECT n AS row_count, 'feature-set-' || substr(sha256(concat_ws('|', n, s0, s1, s2, s3)), 1, 16) AS dataset_version FROM s""")
 def dataset_version(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("string").alias("shipdate"), "l_quantity")
-    version = features.dataset_version(rows, rows.columns, "feature-set")
-    return version.select("row_count", F.substring_index("dataset_version", "-", 2).alias("prefix"), F.length("dataset_version").alias("version_length"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", day("l_shipdate").alias("shipdate"), F.col("l_quantity").cast("long").alias("quantity"))
+    return features.dataset_version(rows, rows.columns, "feature-set")
 
 
 READBACK_SQL = """WITH stored AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS event_time, event_id, ts, value, event_type = 'error' AS is_deleted FROM events),
@@ -291,7 +288,7 @@ FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, epoch_us(o_order
 WINDOW w30 AS (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING), w365 AS (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 31536000000000 PRECEDING AND 1 PRECEDING)""")
 def prior_window_features(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", F.lit(1).alias("one"), cents("o_totalprice").alias("c"))
-    prior = history.prior_sums(rows, key="o_custkey", time="o_orderdate", row="o_orderkey", measures={"claims": "one", "cents": "c"}, days=[30, 365])
+    prior = history.prior_sums(rows, key="o_custkey", time="o_orderdate", measures={"claims": "one", "cents": "c"}, days=[30, 365])
     return prior.select("o_orderkey", "claims_30d", "claims_365d", "cents_30d", "cents_365d")
 
 
@@ -300,7 +297,7 @@ FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id
 def customer_claim_features(t: Tables) -> DataFrame:
     """Payment failures and activity of the last 90 days, and tenure, before each event."""
     rows = t.events.select("event_id", "user_id", "ts", F.lit(1).alias("one"), (F.col("event_type") == "error").cast("int").alias("failed"))
-    prior = history.prior_sums(rows, key="user_id", time="ts", row="event_id", measures={"failed": "failed", "events": "one"}, days=[90], bucket_days=5)
+    prior = history.prior_sums(rows, key="user_id", time="ts", measures={"failed": "failed", "events": "one"}, days=[90], bucket_days=5)
     since = t.events.groupBy("user_id").agg(F.min("ts").alias("since"))
     return prior.join(since, "user_id").select("event_id", "failed_90d", "events_90d", history.tenure_days("ts", "since").cast("long").alias("tenure_days"))
 
@@ -308,9 +305,9 @@ def customer_claim_features(t: Tables) -> DataFrame:
 @query(sql="""SELECT l_orderkey, l_linenumber, l_partkey, us, count(*) OVER w AS prior_claims_365d, CAST(coalesce(sum(c) OVER w, 0) AS BIGINT) AS prior_cents_365d
 FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, epoch_us(l_shipdate) AS us FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY us RANGE BETWEEN 31536000000000 PRECEDING AND 1 PRECEDING)""")
 def policy_risk_features(t: Tables) -> DataFrame:
-    """Claims of a policy in the year before each of its claims; a policy holds few claims."""
+    """Claims of a policy in the year before each of its claims."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.lit(1).alias("one"), cents("l_extendedprice").alias("c"))
-    prior = history.prior_window(rows, key="l_orderkey", time="l_shipdate", measures={"prior_claims": "one", "prior_cents": "c"}, days=[365])
+    prior = history.prior_sums(rows, key="l_orderkey", time="l_shipdate", measures={"prior_claims": "one", "prior_cents": "c"}, days=[365])
     return prior.select("l_orderkey", "l_linenumber", "l_partkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), "prior_claims_365d", "prior_cents_365d")
 
 
