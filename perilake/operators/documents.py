@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilake.functions.identity import content_hash
-from perilake.functions.text import words
+from perilake.functions.text import WORD_BREAK, words
 from perilake.operators.joins import changed_versions
 
 # --- fixed values -----------------------------------------------------------------------
@@ -114,13 +115,23 @@ def chunk_documents(
     )
 
 
-def embed_chunks(chunks: DataFrame, text: str = "chunk_text", size: int = EMBEDDING_SIZE, name: str = "embedding") -> DataFrame:
-    """Unit-length lexical vectors (hashed term frequency x inverse document frequency)."""
-    terms = chunks.withColumn("_terms", F.transform(words(text), F.lower))
-    counted = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size).transform(terms)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.withColumn(name, vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_tfidf", "_unit")
+def fit_embedding(chunks: DataFrame, text: str = "chunk_text", size: int = EMBEDDING_SIZE) -> PipelineModel:
+    """Lexical embedding of a corpus: hashed term frequency x inverse document frequency, unit length.
+
+    Fitting gathers one document count per hash slot, so its size does not grow with the corpus.
+    Save the model next to the index: questions must be embedded with the same weights.
+    """
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_terms", pattern=WORD_BREAK, toLowercase=True),
+        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size),
+        IDF(inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol="_unit"),
+    ]).fit(chunks)
+
+
+def embed(model: PipelineModel, texts: DataFrame, name: str = "embedding") -> DataFrame:
+    """Add the vector of each text as ``array<float>``; the text column is the fitted one."""
+    return model.transform(texts).withColumn(name, vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_tfidf", "_unit")
 
 
 def credential_scan(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from perilake.functions.identity import content_hash
 from perilake.operators.contracts import TableContract
+from perilake.operators.features import dataset_version
 from perilake.operators.ordering import file_positions
 
 
@@ -47,8 +49,7 @@ def read_change_log(spark: SparkSession, root: str, tables: Mapping[str, TableCo
 def file_identities(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """(source_object, source_file_id, size) per landed file; identity is the content alone.
 
-    Files are hashed on the executors. A single file must fit a task's memory here, which holds
-    for landed broker files; larger drops are identified per part file.
+    Each file is hashed whole by one task; :func:`snapshot_identity` takes care of large ones.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True)
     return reader.load(path).select(
@@ -56,6 +57,28 @@ def file_identities(spark: SparkSession, path: str, suffix: str = "*") -> DataFr
     )
 
 
+# Files up to this size are hashed as bytes by one task; larger ones by their lines.
+WHOLE_FILE_LIMIT = 256 * 1024 * 1024
+
+
+def snapshot_identity(spark: SparkSession, path: str) -> str:
+    """Content identity of a landed snapshot (a file or a folder of part files).
+
+    Small files: the hash of the bytes, or of the sorted part hashes. When a file is too large
+    for one task, the order-free hash of its lines, computed by all tasks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    largest = files.agg(F.max("length")).first()[0]
+    if largest is None:
+        raise FileNotFoundError(path)
+    if largest > WHOLE_FILE_LIMIT:
+        return dataset_version(spark.read.text(path), ["value"], "lines").first().dataset_version
+    parts = file_identities(spark, path).agg(F.sort_array(F.collect_list("source_file_id")).alias("ids")).first().ids
+    if len(parts) == 1:
+        return parts[0]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a folder as (source, content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

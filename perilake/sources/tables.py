@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from perilake.operators.audit import AUDIT_DDL, TERMINAL_STATUSES, finish_audit
@@ -16,6 +16,16 @@ LAYERS = ("bronze", "silver", "gold")
 LEDGER_DDL = "source_file_id string, source string, run_id string, input_count long, status string, recorded_at timestamp"
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A written snapshot that readers do not see yet."""
+
+    layer: str
+    table: str
+    folder: str
+    counts: dict[str, int]
+
+
 @dataclass(frozen=True)
 class Lakehouse:
     """Where tables, quarantine and control data live. ``root`` must be a shared folder."""
@@ -44,25 +54,42 @@ class Lakehouse:
         frame = self.spark.table(self.name(layer, table))
         return frame if source_file_id is None else frame.filter(F.col("_source_file_id") == source_file_id)
 
-    def publish(self, frame: DataFrame, layer: str, table: str, run_id: str) -> None:
-        """Replace a table with a full snapshot.
+    def stage(self, frame: DataFrame, layer: str, table: str, run_id: str, counts: Mapping[str, Column] | None = None) -> Staged:
+        """Write a full snapshot to a folder of its own, not visible to readers yet.
 
-        The snapshot is written to a folder of its own and the table is pointed at it when the
-        write is complete. Readers keep a whole version, a failed write changes nothing, and a
-        table may be published from a query that reads it.
+        ``counts`` are aggregates collected while writing, so no second pass is needed.
         """
-        full = self.name(layer, table)
         folder = f"{self.root}/{layer}/{table}/{run_id}"
-        frame.write.format(self.table_format).mode("overwrite").save(folder)
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database(layer)}")
-        written = self.spark.read.format(self.table_format).load(folder).schema
+        seen = Observation()
+        measured = {"rows": F.count(F.lit(1)), **(counts or {})}
+        observed = frame.observe(seen, *[c.alias(n) for n, c in measured.items()])
+        observed.write.format(self.table_format).mode("overwrite").save(folder)
+        return Staged(layer, table, folder, dict(seen.get))
+
+    def staged_frame(self, staged: Staged) -> DataFrame:
+        return self.spark.read.format(self.table_format).load(staged.folder)
+
+    def release(self, staged: Staged) -> None:
+        """Point the table at a staged snapshot.
+
+        Readers keep a whole version, a failed write changes nothing, and a table may be
+        replaced from a query that reads it.
+        """
+        full = self.name(staged.layer, staged.table)
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database(staged.layer)}")
         if self.spark.catalog.tableExists(full):
-            if self.spark.table(full).schema == written:
-                self.spark.sql(f"ALTER TABLE {full} SET LOCATION '{folder}'")
+            if self.spark.table(full).schema == self.staged_frame(staged).schema:
+                self.spark.sql(f"ALTER TABLE {full} SET LOCATION '{staged.folder}'")
                 self.spark.catalog.refreshTable(full)
                 return
             self.spark.sql(f"DROP TABLE {full}")  # external: the files stay
-        self.spark.catalog.createTable(full, path=folder, source=self.table_format)
+        self.spark.catalog.createTable(full, path=staged.folder, source=self.table_format)
+
+    def publish(self, frame: DataFrame, layer: str, table: str, run_id: str) -> int:
+        """Replace a table with a full snapshot; returns its row count."""
+        staged = self.stage(frame, layer, table, run_id)
+        self.release(staged)
+        return staged.counts["rows"]
 
     # --- quarantine -------------------------------------------------------------------
 

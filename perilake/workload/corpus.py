@@ -152,9 +152,8 @@ def citation_errors(t: Tables) -> DataFrame:
 def retrieve_chunks(t: Tables) -> DataFrame:
     """Every benchmark item asked against lexical vectors of all document chunks: top four."""
     pieces = documents.chunk_documents(t.documents.select(F.col("doc_id").cast("string").alias("doc"), "text"))
-    rows = pieces.select(F.concat_ws("#", "doc", "chunk_no").alias("chunk_id"), F.col("chunk_text").alias("body")).unionByName(
-        t.benchmark.select(F.concat(F.lit("?"), F.col("item_id").cast("string")).alias("chunk_id"), F.col("text").alias("body")))
-    vectors = documents.embed_chunks(rows, "body").withColumn("uri", F.concat(F.lit("s3://corpus/"), "chunk_id"))
-    questions = vectors.filter(F.col("chunk_id").startswith("?")).select(F.col("chunk_id").alias("query_id"), "embedding")
-    index = vectors.filter(~F.col("chunk_id").startswith("?"))
-    return retrieval.retrieve(index, questions, key="chunk_id", text="body").withColumn("score", F.round("score", 6))
+    chunks = pieces.withColumns({"chunk_id": F.concat_ws("#", "doc", "chunk_no"), "uri": F.concat(F.lit("s3://corpus/"), "doc")})
+    model = documents.fit_embedding(chunks)
+    questions = documents.embed(model, t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("chunk_text")))
+    found = retrieval.retrieve(documents.embed(model, chunks), questions, key="chunk_id")
+    return found.withColumn("score", F.round("score", 6))
