@@ -142,8 +142,11 @@ def failed_rules(rules: Sequence[Rule]) -> Column:
 
 @dataclass(frozen=True)
 class Split:
+    """Valid rows, quarantine records, and a one-row frame with the size of both."""
+
     valid: DataFrame
     rejected: DataFrame
+    sizes: DataFrame
 
 
 def split_by_rules(
@@ -165,7 +168,8 @@ def split_by_rules(
         names.alias("failed_rules"),
         (F.current_timestamp() if at is None else at).alias("rejected_at"),
     )
-    return Split(frame.filter(ok), rejected)
+    sizes = frame.agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    return Split(frame.filter(ok), rejected, sizes)
 
 
 def drop_sensitive(frame: DataFrame, columns: Sequence[str], at: Column | None = None) -> DataFrame:

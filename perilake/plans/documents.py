@@ -38,7 +38,7 @@ def run_document_sync(lake: Lakehouse, corpus: DataFrame, run_id: str) -> SyncRe
     counts = {k: decision[k] for k in ("moved", "documents_discovered", "documents_valid", "documents_rejected")}
     if decision.decision == "BLOCKED":
         rejected = manifest.filter(F.col("status") == "REJECTED").select("source", "failure_reason")
-        lake.write_quarantine(rejected, "documents", "document", run_id)
+        rejected.write.mode("overwrite").json(lake.quarantine_path("documents", "document", run_id))
         raise SyncBlocked(f"{decision.documents_rejected} rejected documents must not be synchronised")
     if decision.decision == "SKIP":
         return SyncResult("SKIP", counts)

@@ -133,8 +133,7 @@ def _file_silver(lake: Lakehouse, path: str, run_id: str, file_id: str, contract
     split = split_by_rules(
         typed, typed_claim_rules() if is_claim else reference_rules(contract), run_id=run_id, source=path,
         entity=contract.entity, record_columns=contract.columns, label=CLAIM_CONTRACT_LABEL if is_claim else None, at=at)
-    rejected = lake.write_quarantine(split.rejected, "batch", contract.entity, run_id)
-    accepted = split.valid.count()
+    accepted, rejected = lake.write_quarantine(split, "batch", contract.entity, run_id)
     result.counts["silver"] = {"input": accepted + rejected, "output": 0, "rejected": rejected, "duplicate": 0}
     rules = DATASET_RULES.get(contract.entity, ())
     if rules and gate_when == "before_dedup":
@@ -273,8 +272,7 @@ def _changes_bronze(lake: Lakehouse, root: str, run_id: str, result: RunResult,
         lined = lined.withColumn("_record_hash", F.col("_source_change_id"))
         split = split_by_rules(lined, change_rules(name), run_id=run_id, source=source, entity=name,
                                record_columns=raw.columns, label=f"{name}_cdc_contract_v2", at=at)
-        rejected = lake.write_quarantine(split.rejected, "cdc", name, run_id)
-        accepted = split.valid.count()
+        accepted, rejected = lake.write_quarantine(split, "cdc", name, run_id)
         kept = lake.publish(drop_exact_repeats(split.valid, "_source_change_id"), "bronze", f"{name}_cdc", run_id)
         total["input"] += accepted + rejected
         total["output"] += kept
@@ -291,17 +289,15 @@ def _changes_silver(lake: Lakehouse, root: str, run_id: str, result: RunResult,
         log = lake.table_or_none("bronze", f"{name}_cdc")
         if log is None:
             continue
-        changes = log.count()
-        # Tombstones are counted while the live rows are written.
+        size = log.agg(F.count(F.lit(1)).alias("changes"), F.count_distinct(contract.key).alias("keys")).first()
         newest = newest_changes(log, contract.key)
-        keys = newest.agg(F.count(F.lit(1))).first()[0]
         one = lake.stage(conform(live(newest), contract), "silver", name, run_id)
         if name in DATASET_RULES:
             judged.append(evaluate(lake.staged_frame(one), name, DATASET_RULES[name]))
         staged.append(one)
-        total["input"] += changes
+        total["input"] += size.changes
         total["output"] += one.counts["rows"]
-        total["duplicate"] += changes - keys
+        total["duplicate"] += size.changes - size["keys"]
     result.quality = gate(judged)
     for one in staged:
         lake.release(one)

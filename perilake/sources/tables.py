@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from perilake.operators.audit import AUDIT_DDL, TERMINAL_STATUSES, finish_audit
+from perilake.operators.contracts import Split
 
 LAYERS = ("bronze", "silver", "gold")
 LEDGER_DDL = "source_file_id string, source string, run_id string, input_count long, status string, recorded_at timestamp"
@@ -96,19 +97,24 @@ class Lakehouse:
     def quarantine_path(self, flow: str, entity: str, run_id: str) -> str:
         return f"{self.root}/quarantine/{flow}/{entity}/{run_id}"
 
-    def write_quarantine(self, rejected: DataFrame, flow: str, entity: str, run_id: str) -> int:
+    def write_quarantine(self, split: Split, flow: str, entity: str, run_id: str) -> tuple[int, int]:
         """Rejected rows as JSON lines, replacing an earlier try of the same run.
 
-        Nothing is written when nothing was rejected.
+        Returns (accepted, rejected). Both are counted in one pass, and nothing is written when
+        nothing was rejected.
         """
-        if rejected.isEmpty():
-            return 0
-        path = self.quarantine_path(flow, entity, run_id)
-        rejected.write.mode("overwrite").json(path)
-        return self.spark.read.text(path).count()
+        sizes = split.sizes.first()
+        if sizes.rejected:
+            split.rejected.write.mode("overwrite").json(self.quarantine_path(flow, entity, run_id))
+        return sizes.accepted, sizes.rejected
 
     # --- audit ------------------------------------------------------------------------
 
+    def _one_row(self, **values: str | int | None) -> DataFrame:
+        """A control record: counts are long, everything else text."""
+        columns = [F.lit(v).cast("long" if n.endswith("_count") else "string").alias(n) for n, v in values.items()]
+        return self.spark.range(1, numPartitions=1).select(*columns, F.current_timestamp().alias("recorded_at"))
+
     def write_audit(self, *, run_id: str, pipeline: str, source: str, stage: str, status: str, kind: str = "batch",
                     counts: Mapping[str, int] | None = None, source_file_id: str | None = None,
                     error: str | None = None, quality: object = None) -> None:
@@ -118,14 +124,12 @@ class Lakehouse:
         numbers = {k: int((counts or {}).get(k, 0)) for k in ("input", "output", "rejected", "duplicate")}
         if min(numbers.values()) < 0:
             raise ValueError("audit counts must be non-negative integers")
-        one = self.spark.createDataFrame(
-            [(run_id, pipeline, source, stage, status, source_file_id, numbers["input"], numbers["output"],
-              numbers["rejected"], numbers["duplicate"], error, json.dumps(quality, default=str) if quality else None)],
-            """run_id string, pipeline_name string, source string, stage string, status string, source_file_id string,
-               input_count long, output_count long, rejected_count long, duplicate_count long, error_message string,
-               data_quality string""",
-        ).withColumn("recorded_at", F.current_timestamp())
-        finish_audit(one, kind).coalesce(1).write.mode("append").parquet(f"{self.root}/control/audit/run={run_id}")
+        one = self._one_row(
+            run_id=run_id, pipeline_name=pipeline, source=source, stage=stage, status=status, source_file_id=source_file_id,
+            input_count=numbers["input"], output_count=numbers["output"], rejected_count=numbers["rejected"],
+            duplicate_count=numbers["duplicate"], error_message=error,
+            data_quality=json.dumps(quality, default=str) if quality else None)
+        finish_audit(one, kind).write.mode("append").parquet(f"{self.root}/control/audit/run={run_id}")
 
     def read_stage_audit(self, run_id: str, stage: str) -> Row | None:
         try:
@@ -155,7 +159,5 @@ class Lakehouse:
 
     def mark_processed(self, source_file_id: str, source: str, run_id: str, input_count: int) -> None:
         """Record a file as published; call it only after Gold is complete."""
-        self.spark.createDataFrame(
-            [(source_file_id, source, run_id, input_count, "SUCCEEDED")],
-            "source_file_id string, source string, run_id string, input_count long, status string",
-        ).withColumn("recorded_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.ledger_path)
+        one = self._one_row(source_file_id=source_file_id, source=source, run_id=run_id, input_count=input_count, status="SUCCEEDED")
+        one.write.mode("append").parquet(self.ledger_path)

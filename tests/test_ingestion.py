@@ -219,8 +219,7 @@ def load_references(lake, tmp_path):
         run_file(lake, write_csv(tmp_path / "ref" / f"{name}.csv", content_rows), f"ref-{name}")
 
 
-def test_reference_load_keeps_newest_and_quarantines_blank_keys(lake, tmp_path, spark):
-    load_references(lake, tmp_path)
+def check_broker_reference(lake, spark):
     brokers = lake.read_layer("gold", "dim_broker")
     assert [(r.broker_name, r.years_experience) for r in brokers.collect()] == [("New", 7)]
     assert "_source_object" not in brokers.columns
@@ -230,9 +229,10 @@ def test_reference_load_keeps_newest_and_quarantines_blank_keys(lake, tmp_path,
     assert bad.failed_rules == ["broker_id must not be null or blank"]
 
 
-def test_enrichment_and_performance(lake, tmp_path):
+def test_references_enrichment_and_performance(lake, tmp_path, spark):
     run_changes(lake, land(tmp_path, seed()), "cdc")
     load_references(lake, tmp_path)
+    check_broker_reference(lake, spark)
     links = dict(broker_id="b1", claim_type_id="ct1", claim_type_code="F", incident_region_code="R1", coverage_code="cv1",
                  vehicle_code="", outcome_severity="LOW", high_risk_claim="1")
     path = write_csv(tmp_path / "in/broker_claims.csv", [
