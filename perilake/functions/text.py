@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The whitespace class used for word counts, the same characters that
 # Python's str.split() separates on.
 WORD_BREAK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
+IN_WORD = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 # Fixed value: shape of a generated drill run identifier.
 RUN_ID_SHAPE = r"^v5-[a-z0-9-]+-\d{8}T\d{6}Z-[0-9a-f]{8}$"
@@ -36,6 +37,12 @@ def words(value: str | Column) -> Column:
     return F.filter(F.split(col(value), WORD_BREAK), lambda word: word != "")
 
 
+def has_words(value: str | Column, least: int) -> Column:
+    """Whether a text has at least that many words; reading stops as soon as it does."""
+    more = f"(?:{WORD_BREAK}{IN_WORD}++)" + "{" + str(least - 1) + "}" if least > 1 else ""
+    return col(value).rlike(f"{IN_WORD}++{more}")
+
+
 def is_run_id(value: str | Column) -> Column:
     return F.coalesce(col(value).rlike(RUN_ID_SHAPE), F.lit(False))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilake.functions.identity import content_hash
-from perilake.functions.text import WORD_BREAK, words
+from perilake.functions.text import WORD_BREAK, has_words, words
 from perilake.operators.joins import changed_versions
 
 # --- fixed values -----------------------------------------------------------------------
@@ -31,10 +31,10 @@ def rejection_reason(content: str) -> Column:
     """Why binary content is not an acceptable document, or NULL."""
     text = F.col(content).cast("string")
     return (
-        F.when(F.col(content).isNull() | (F.size(words(text)) == 0), "document is empty")
+        F.when(~F.coalesce(has_words(text, 1), F.lit(False)), "document is empty")
         .when(~F.is_valid_utf8(text), "document is not valid UTF-8")
         .when(F.instr(text, "\0") > 0, "document contains NUL bytes")
-        .when(F.size(words(text)) < MIN_WORDS, "document has insufficient meaningful text")
+        .when(~has_words(text, MIN_WORDS), "document has insufficient meaningful text")
     )
 
 
@@ -45,12 +45,12 @@ def document_manifest(documents: DataFrame, *, source: str = "source", content:
     """
     judged = documents.withColumn("failure_reason", rejection_reason(content))
     ok = F.col("failure_reason").isNull()
-    digest = content_hash(content)
-    return judged.select(
+    hashed = judged.withColumn("_digest", F.when(ok, content_hash(content)))
+    return hashed.select(
         F.col(source).alias("source"),
         F.when(ok, F.substring(content_hash(source), 1, 24)).alias("document_id"),
-        F.when(ok, digest).alias("content_hash"),
-        F.when(ok, F.concat(F.lit("sha256:"), digest)).alias("document_version"),
+        F.col("_digest").alias("content_hash"),
+        F.concat(F.lit("sha256:"), F.col("_digest")).alias("document_version"),
         F.when(ok, F.octet_length(content)).alias("size_bytes"),
         F.when(ok, "VALID").otherwise("REJECTED").alias("status"),
         "failure_reason",

@@ -6,16 +6,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 from perilake.functions.identity import row_hash
 from perilake.functions.money import zero_if_missing
-from perilake.functions.temporal import iso_event_time, reporting_delay_days, text_date, vehicle_age
+from perilake.functions.temporal import iso_event_time, text_date, vehicle_age
 from perilake.functions.text import cleaned, present
 from perilake.operators.dedup import latest_per_key
 
 # --- fixed values: the feature contract ------------------------------------------------
 ID, LABEL, EVENT_TIME = "claim_id", "high_risk_claim", "event_time"
 VERSION_PREFIX = "claim-risk-v2"
+MAX_DOUBLE = 1.7976931348623157e308
 LEGACY_VERSION_PREFIX = "legacy-manifest-sha256:"
 
 LEAKAGE = ("approved_amount", "paid_amount", "claim_status", "outcome_severity",
@@ -116,22 +118,41 @@ def one_hot(column: str | Column, levels: Sequence[str]) -> list[Column]:
     return [F.coalesce(hit, F.lit(False)).cast("double") for hit in hits]
 
 
-def number(column: str | Column) -> Column:
+def _is_number(frame: DataFrame, name: str) -> bool:
+    return isinstance(frame.schema[name].dataType, NumericType)
+
+
+def as_number(frame: DataFrame, name: str) -> Column:
+    """Double, NULL when the value is missing or unreadable; typed columns are only widened."""
+    if _is_number(frame, name):
+        return F.col(name).cast("double")
+    return cleaned(F.col(name).cast("string")).try_cast("double")
+
+
+def number(frame: DataFrame, name: str) -> Column:
     """Double; blank or missing is 0."""
-    return F.coalesce(cleaned(F.col(column).cast("string")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(as_number(frame, name), F.lit(0.0))
+
 
+def _as_day(frame: DataFrame, name: str) -> Column:
+    """Calendar day of a date, timestamp or text column."""
+    kind = frame.schema[name].dataType
+    return F.to_date(name) if isinstance(kind, DatetimeType) else text_date(F.col(name).cast("string"))
 
-def _delay(columns: Sequence[str]) -> Column:
-    computed = reporting_delay_days(F.col("incident_date").cast("string"), F.col("submitted_at").cast("string"))
-    if "reporting_delay_days" not in columns:
+
+def _delay(frame: DataFrame) -> Column:
+    computed = F.datediff(_as_day(frame, "submitted_at"), _as_day(frame, "incident_date")).cast("double")
+    if "reporting_delay_days" not in frame.columns:
         return computed
-    given = F.col("reporting_delay_days").cast("string")
-    return F.when(present(given), cleaned(given).try_cast("double")).otherwise(computed)
+    given = as_number(frame, "reporting_delay_days")
+    if _is_number(frame, "reporting_delay_days"):
+        return F.coalesce(given, computed)
+    return F.when(present("reporting_delay_days"), given).otherwise(computed)
 
 
 def vectorize(frame: DataFrame, keep: Sequence[str] = (ID, LABEL)) -> DataFrame:
     """The 54 model inputs as double columns, in contract order; one projection, no shuffle."""
-    numeric = [(_delay(frame.columns) if n == "reporting_delay_days" else number(n)).alias(n) for n in NUMERIC]
+    numeric = [(_delay(frame) if n == "reporting_delay_days" else number(frame, n)).alias(n) for n in NUMERIC]
     flags = [
         hit.alias(f"{c}__{level}") for c, levels in LEVELS.items() for hit, level in zip(one_hot(c, levels), levels)
     ]
@@ -153,40 +174,51 @@ def legacy_claim_features(claims: DataFrame) -> DataFrame:
 # --- validation ------------------------------------------------------------------------
 
 
-def row_issues(frame: DataFrame) -> Column:
-    """Messages for one row: identity, label, each numeric and categorical feature, time order."""
-    label = cleaned(F.col(LABEL).cast("string")).try_cast("int")
+def with_row_issues(frame: DataFrame) -> DataFrame:
+    """Add ``issues``: identity, label, each numeric and categorical feature, time order.
 
-    def numeric_ok(name: str) -> Column:
-        if name == "reporting_delay_days":
-            value = _delay(frame.columns)
-        else:
-            value = cleaned(F.col(name).cast("string")).try_cast("double")
-        ok = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    Every value is read once into a column of its own and then only compared, which keeps the
+    generated code small enough to be compiled.
+    """
+    known = "as_of_date" in frame.columns
+    submitted = _as_day(frame, "submitted_at")
+    as_of = F.coalesce(_as_day(frame, "as_of_date"), submitted) if known else submitted
+    unreadable = F.lit(False)
+    if known and not isinstance(frame.schema["as_of_date"].dataType, DatetimeType):
+        unreadable = present("as_of_date") & _as_day(frame, "as_of_date").isNull()
+    label = as_number(frame, LABEL)
+    read = frame.withColumns({
+        **{f"_n_{n}": _delay(frame) if n == "reporting_delay_days" else as_number(frame, n) for n in NUMERIC},
+        "_label": label, "_submitted": submitted, "_as_of": as_of, "_bad_as_of": unreadable,
+    })
+
+    def outside(name: str) -> Column:
+        value = F.col(f"_n_{name}")
         if name == "optional_flag":
-            return ok & value.isin(0.0, 1.0)
-        low, high = RANGES[name]
-        ok = ok & (value >= low)
-        return ok if high is None else ok & (value <= high)
-
-    submitted_text = F.col("submitted_at").cast("string")
-    as_of_text = F.coalesce(F.nullif(cleaned(F.col("as_of_date").cast("string")), F.lit("")), submitted_text) if "as_of_date" in frame.columns else submitted_text
-    submitted, as_of = text_date(submitted_text), text_date(as_of_text)
+            bad = ~value.isin(0.0, 1.0)
+        else:
+            low, high = RANGES[name]
+            # NaN is larger than any number, so an open range still needs a finite upper end.
+            bad = ~value.between(low, MAX_DOUBLE if high is None else high)
+        return value.isNull() | bad
+
+    blank = lambda c: ~present(F.col(c).cast("string"))
     checks = [
-        (present(F.col(ID).cast("string")), f"{ID} is null"),
-        (label.isin(0, 1), f"{LABEL} must be 0 or 1"),
-        *[(numeric_ok(n), f"{n} is null, invalid, or outside its allowed range") for n in NUMERIC],
-        *[(present(F.col(c).cast("string")), f"{c} is null") for c in LEVELS],
-        (submitted.isNotNull(), "submitted_at is null or invalid"),
-        (as_of.isNotNull(), "as_of_date is null or invalid"),
-        (submitted.isNull() | as_of.isNull() | (as_of <= submitted), "as_of_date is after claim submission"),
+        (blank(ID), f"{ID} is null"),
+        (F.col("_label").isNull() | ~F.col("_label").isin(0.0, 1.0), f"{LABEL} must be 0 or 1"),
+        *[(outside(n), f"{n} is null, invalid, or outside its allowed range") for n in NUMERIC],
+        *[(blank(c), f"{c} is null") for c in LEVELS],
+        (F.col("_submitted").isNull(), "submitted_at is null or invalid"),
+        (F.col("_bad_as_of"), "as_of_date is null or invalid"),
+        (F.col("_as_of") > F.col("_submitted"), "as_of_date is after claim submission"),
     ]
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), message) for ok, message in checks]))
+    found = F.array_compact(F.array(*[F.when(bad, message) for bad, message in checks]))
+    return read.withColumn("issues", found).drop(*[f"_n_{n}" for n in NUMERIC], "_label", "_submitted", "_as_of", "_bad_as_of")
 
 
 def issue_counts(frame: DataFrame) -> DataFrame:
     """Kinds of row problems with the number of rows showing each."""
-    return frame.select(F.explode(row_issues(frame)).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
+    return with_row_issues(frame).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def dataset_version(frame: DataFrame, columns: Sequence[str], prefix: str = VERSION_PREFIX) -> DataFrame:
@@ -215,8 +247,8 @@ def validate_feature_dataset(frame: DataFrame) -> dict[str, object]:
     Only kinds of problems and counts reach the driver, never rows.
     """
     assert_no_leakage(feature_names())
-    label = cleaned(F.col(LABEL).cast("string")).try_cast("int")
-    as_of = text_date(F.col("as_of_date" if "as_of_date" in frame.columns else "submitted_at").cast("string"))
+    label = as_number(frame, LABEL)
+    as_of = _as_day(frame, "as_of_date" if "as_of_date" in frame.columns else "submitted_at")
     stats = frame.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(label == 1).alias("pos"), F.count_if(label == 0).alias("neg"),
         F.min(as_of).alias("first"), F.max(as_of).alias("last"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.temporal import DAY_MICROS, micros
+from perilake.session import durable
 
 
 def prior_sums(
@@ -59,13 +60,38 @@ def prior_window(
 ) -> DataFrame:
     """Same answer as :func:`prior_sums` from one range-frame window per key.
 
-    One shuffle and no re-join, for keys known to be small (a policy, a household).
+    One shuffle and no re-join, for keys that fit a task. Rows without a key have no history;
+    they are spread over the map partitions instead of forming one group.
     """
     at = micros(time)
-    frames = {n: Window.partitionBy(key).orderBy(at).rangeBetween(-n * DAY_MICROS, -1) for n in days}
-    return frame.withColumns({
-        f"{m}_{n}d": F.coalesce(F.sum(c).over(w), F.lit(0)) for n, w in frames.items() for m, c in measures.items()
-    })
+    nobody = F.when(F.col(key).isNull(), F.spark_partition_id())
+    placed = frame.withColumn("_nobody", nobody)
+    frames = {n: Window.partitionBy(key, "_nobody").orderBy(at).rangeBetween(-n * DAY_MICROS, -1) for n in days}
+    prior = lambda c, w: F.when(F.col(key).isNotNull(), F.coalesce(F.sum(c).over(w), F.lit(0))).otherwise(F.lit(0))
+    return placed.withColumns({f"{m}_{n}d": prior(c, w) for n, w in frames.items() for m, c in measures.items()}).drop("_nobody")
+
+
+# A key with more rows than this does not get a task of its own.
+HOT_ROWS = 1_000_000
+
+
+def prior_features(
+    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int],
+    bucket_days: float = 30, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Prior-window sums: one window for ordinary keys, the spread sweep for hot ones.
+
+    Hot keys are found by a map-side count of the key column alone. There are at most
+    rows / ``hot_rows`` of them, which bounds the broadcast.
+    """
+    ask = {"key": key, "time": time, "measures": measures, "days": days}
+    counted = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = durable(counted.filter(F.col("_rows") >= hot_rows).select(key))
+    if hot.isEmpty():
+        return prior_window(frame, **ask)
+    usual = prior_window(frame.join(F.broadcast(hot), key, "left_anti"), **ask)
+    busy = prior_sums(frame.join(F.broadcast(hot), key, "left_semi"), bucket_days=bucket_days, **ask)
+    return usual.unionByName(busy)
 
 
 def neighbour(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -49,7 +50,12 @@ def train_classifier(
         subsamplingRate=ROW_SAMPLE, featureSubsetStrategy=COLUMN_SAMPLE, seed=seed,
         validationIndicatorCol="held_out", checkpointInterval=10,
     )
-    return trees.fit(fit_on)
+    # Every boosting round reads the rows again.
+    fit_on.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return trees.fit(fit_on)
+    finally:
+        fit_on.unpersist()
 
 
 def score_batch(model: GBTClassificationModel, vectors: DataFrame, names: Sequence[str], name: str = "probability") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perilake.functions.money import money
 from perilake.functions.temporal import as_date, as_instant, as_zoned_instant
 from perilake.functions.text import cleaned, code, present
 from perilake.operators.contracts import Rule, TableContract
@@ -173,6 +174,15 @@ def typed_claim_rules() -> list[Rule]:
     ]
 
 
+def read_raw_claims(landed: DataFrame) -> DataFrame:
+    """Landed text with each value read once, as the columns :func:`raw_claim_rules` judges."""
+    return landed.withColumns({
+        "_day": as_date("incident_date"), "_sent": as_zoned_instant("submitted_at"), "_changed": as_zoned_instant("updated_at"),
+        "_amount": money("claim_amount"), "_approved": money("approved_amount"),
+        "_status": code("claim_status"), "_currency": code("currency_code"),
+    })
+
+
 def raw_claim_rules() -> list[Rule]:
     """Named rules over the landed text, telling apart missing, malformed and inconsistent.
 
@@ -181,34 +191,26 @@ def raw_claim_rules() -> list[Rule]:
     """
     required = ("claim_id", "claim_number", "policy_id", "customer_id", "claim_status",
                 "currency_code", "submitted_at", "updated_at", "incident_date", "claim_amount")
-    day = as_date("incident_date")
-    sent, changed = as_zoned_instant("submitted_at"), as_zoned_instant("updated_at")
-    amount, approved = (cleaned(c).try_cast("decimal(18,2)") for c in ("claim_amount", "approved_amount"))
-
-    def unless_missing(column: str, holds: Column) -> Column:
-        return ~present(column) | holds
-
-    def when_read(*parts: Column, holds: Column) -> Column:
-        unread = F.lit(False)
-        for part in parts:
-            unread = unread | part.isNull()
-        return unread | holds
-
-    rules = [Rule(f"{c} is required", present(c)) for c in required]
-    rules += [
-        Rule("claim_status is not an allowed value", unless_missing("claim_status", code("claim_status").isin(*CLAIM_STATUSES))),
-        Rule("currency_code must be a 3-character ISO code", unless_missing("currency_code", F.length(code("currency_code")) == 3)),
-        Rule("incident_date is not an ISO date", unless_missing("incident_date", day.isNotNull())),
-        Rule("incident_date cannot be after submitted_at", when_read(day, sent, holds=day <= F.to_date(sent))),
-        Rule("updated_at cannot be before submitted_at", when_read(sent, changed, holds=changed >= sent)),
-        Rule("approved_amount cannot exceed claim_amount", when_read(amount, approved, holds=approved <= amount)),
+    day, sent, changed, amount, approved = (F.col(c) for c in ("_day", "_sent", "_changed", "_amount", "_approved"))
+    either_unread = lambda a, b: a.isNull() | b.isNull()
+    readable = {
+        "incident_date is not an ISO date": ("incident_date", day),
+        "submitted_at is not an ISO-8601 timestamp with timezone": ("submitted_at", sent),
+        "updated_at is not an ISO-8601 timestamp with timezone": ("updated_at", changed),
+        "claim_amount is not a decimal amount": ("claim_amount", amount),
+        "approved_amount is not a decimal amount": ("approved_amount", approved),
+    }
+    return [
+        *[Rule(f"{c} is required", present(c)) for c in required],
+        *[Rule(message, ~present(c) | value.isNotNull()) for message, (c, value) in readable.items()],
+        Rule("claim_status is not an allowed value", F.col("_status").isNull() | (F.col("_status") == "") | F.col("_status").isin(*CLAIM_STATUSES)),
+        Rule("currency_code must be a 3-character ISO code", F.col("_currency").isNull() | F.length("_currency").isin(0, 3)),
+        Rule("incident_date cannot be after submitted_at", either_unread(day, sent) | (day <= F.to_date(sent))),
+        Rule("updated_at cannot be before submitted_at", either_unread(sent, changed) | (changed >= sent)),
+        Rule("claim_amount must be non-negative", amount.isNull() | (amount >= 0)),
+        Rule("approved_amount must be non-negative", approved.isNull() | (approved >= 0)),
+        Rule("approved_amount cannot exceed claim_amount", either_unread(amount, approved) | (approved <= amount)),
     ]
-    for c, value in (("submitted_at", sent), ("updated_at", changed)):
-        rules.append(Rule(f"{c} is not an ISO-8601 timestamp with timezone", unless_missing(c, value.isNotNull())))
-    for c, value in (("claim_amount", amount), ("approved_amount", approved)):
-        rules.append(Rule(f"{c} is not a decimal amount", unless_missing(c, value.isNotNull())))
-        rules.append(Rule(f"{c} must be non-negative", value.isNull() | (value >= 0)))
-    return rules
 
 
 def reference_rules(contract: TableContract) -> list[Rule]:

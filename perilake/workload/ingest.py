@@ -12,7 +12,7 @@ from perilake.functions.text import decoded_key, is_run_id
 from perilake.operators import audit, changes, contracts, dedup, joins, quality
 from perilake.operators.contracts import Rule, TableContract
 from perilake.operators.quality import AtLeast, IsComplete, IsUnique
-from perilake.plans.contracts import raw_claim_rules, typed_claim_rules
+from perilake.plans.contracts import raw_claim_rules, read_raw_claims, typed_claim_rules
 from perilake.workload.base import CLAIM_LINES, ENRICHED, USER_CHANGES, Tables, cents, claim_lines, day, enriched_claims, instant, query, user_changes
 
 def _line_rules() -> list[Rule]:
@@ -91,7 +91,7 @@ errors AS (
 SELECT failed_rule, count(*) AS claim_count FROM errors GROUP BY 1""")
 def claim_errors(t: Tables) -> DataFrame:
     names = contracts.failed_rules(raw_claim_rules())
-    return _text_claims(t).select(F.explode(names).alias("failed_rule")).groupBy("failed_rule").agg(F.count(F.lit(1)).alias("claim_count"))
+    return read_raw_claims(_text_claims(t)).select(F.explode(names).alias("failed_rule")).groupBy("failed_rule").agg(F.count(F.lit(1)).alias("claim_count"))
 
 
 @query(sql="""SELECT CAST(o_orderkey AS VARCHAR) AS claim_id, 'CLM-' || o_orderkey AS claim_number,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perilake.functions.temporal import iso_event_time, reporting_delay_days, vehicle_age
 from perilake.operators import features, history, joins, marts, metrics, ordering, scoring
 from perilake.operators.features import one_hot
+from perilake.session import durable
 from perilake.workload.base import CLAIM_LINES, ENRICHED, SCORED, Tables, cents, claim_lines, day, enriched_claims, instant, query, scored_documents
 
 # --- order and split --------------------------------------------------------------------------
@@ -141,7 +142,7 @@ def feature_vector(t: Tables) -> DataFrame:
     rows = joins.star_join(t.orders, [joins.Dimension(t.customer, "c_custkey", "o_custkey", how="inner", columns={"segment": "c_mktsegment", "c_acctbal": "c_acctbal"})])
     flags = [h.alias(f"segment__{v}") for h, v in zip(one_hot("segment", SEGMENTS), SEGMENTS)]
     flags += [h.alias(f"status__{v}") for h, v in zip(one_hot("o_orderstatus", STATUSES), STATUSES)]
-    return rows.select("o_orderkey", features.number("o_totalprice").alias("o_totalprice"), features.number("c_acctbal").alias("c_acctbal"), *flags)
+    return rows.select("o_orderkey", features.number(rows, "o_totalprice").alias("o_totalprice"), features.number(rows, "c_acctbal").alias("c_acctbal"), *flags)
 
 
 def risk_rows(t: Tables) -> DataFrame:
@@ -288,7 +289,7 @@ FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, epoch_us(o_order
 WINDOW w30 AS (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING), w365 AS (PARTITION BY o_custkey ORDER BY t RANGE BETWEEN 31536000000000 PRECEDING AND 1 PRECEDING)""")
 def prior_window_features(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", F.lit(1).alias("one"), cents("o_totalprice").alias("c"))
-    prior = history.prior_sums(rows, key="o_custkey", time="o_orderdate", measures={"claims": "one", "cents": "c"}, days=[30, 365])
+    prior = history.prior_features(rows, key="o_custkey", time="o_orderdate", measures={"claims": "one", "cents": "c"}, days=[30, 365])
     return prior.select("o_orderkey", "claims_30d", "claims_365d", "cents_30d", "cents_365d")
 
 
@@ -297,7 +298,7 @@ FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id
 def customer_claim_features(t: Tables) -> DataFrame:
     """Payment failures and activity of the last 90 days, and tenure, before each event."""
     rows = t.events.select("event_id", "user_id", "ts", F.lit(1).alias("one"), (F.col("event_type") == "error").cast("int").alias("failed"))
-    prior = history.prior_sums(rows, key="user_id", time="ts", measures={"failed": "failed", "events": "one"}, days=[90], bucket_days=5)
+    prior = history.prior_features(rows, key="user_id", time="ts", measures={"failed": "failed", "events": "one"}, days=[90], bucket_days=5)
     since = t.events.groupBy("user_id").agg(F.min("ts").alias("since"))
     return prior.join(since, "user_id").select("event_id", "failed_90d", "events_90d", history.tenure_days("ts", "since").cast("long").alias("tenure_days"))
 
@@ -307,7 +308,7 @@ FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, epoch_us(l_sh
 def policy_risk_features(t: Tables) -> DataFrame:
     """Claims of a policy in the year before each of its claims."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.lit(1).alias("one"), cents("l_extendedprice").alias("c"))
-    prior = history.prior_sums(rows, key="l_orderkey", time="l_shipdate", measures={"prior_claims": "one", "prior_cents": "c"}, days=[365])
+    prior = history.prior_features(rows, key="l_orderkey", time="l_shipdate", measures={"prior_claims": "one", "prior_cents": "c"}, days=[365])
     return prior.select("l_orderkey", "l_linenumber", "l_partkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), "prior_claims_365d", "prior_cents_365d")
 
 
@@ -384,7 +385,7 @@ def train_and_score(t: Tables) -> DataFrame:
     """Boosted trees on the chronological splits of the claim features, scored on every claim."""
     rows = risk_rows(t).withColumn("row_key", F.concat_ws("|", "claim_id", F.col("submitted_at").cast("string"), F.col("claim_amount").cast("string"), "broker_id"))
     labelled = ordering.chronological_split(rows, "submitted_at", "row_key")
-    vectors = features.vectorize(labelled, keep=("row_key", "high_risk_claim", "split"))
+    vectors = durable(features.vectorize(labelled, keep=("row_key", "high_risk_claim", "split")))
     names = features.feature_names()
     model = scoring.train_classifier(vectors, names, "high_risk_claim", rounds=5)
     scored = scoring.score_batch(model, vectors, names)

@@ -13,7 +13,7 @@ from perilake.functions.text import decoded_key, is_run_id, run_id
 from perilake.operators import audit, changes, contracts, governance, history, joins, marts, metrics, ordering, quality
 from perilake.operators.dedup import latest_per_key
 from perilake.operators.quality import AtLeast, IsComplete, IsUnique
-from perilake.plans.contracts import CLAIM_FILE, oltp_rules, raw_claim_rules, typed_claim_rules, vocabulary_rules
+from perilake.plans.contracts import CLAIM_FILE, oltp_rules, raw_claim_rules, read_raw_claims, typed_claim_rules, vocabulary_rules
 from test_ingestion import CLAIM, claim
 
 
@@ -38,13 +38,13 @@ def text_frame(spark, rows):
     ({"approved_amount": "100.01"}, "approved_amount cannot exceed claim_amount"),
 ])
 def test_each_fault_has_its_message(spark, broken, message):
-    found = text_frame(spark, [claim(**broken)]).select(contracts.failed_rules(raw_claim_rules()).alias("f")).first().f
+    found = read_raw_claims(text_frame(spark, [claim(**broken)])).select(contracts.failed_rules(raw_claim_rules()).alias("f")).first().f
     assert found == [message]
 
 
 def test_clean_row_passes_raw_and_typed_contracts(spark):
     frame = text_frame(spark, [claim()])
-    assert frame.select(contracts.failed_rules(raw_claim_rules())).first()[0] == []
+    assert read_raw_claims(frame).select(contracts.failed_rules(raw_claim_rules())).first()[0] == []
     typed = contracts.conform(frame, CLAIM_FILE)
     assert typed.select(contracts.all_hold(typed_claim_rules())).first()[0] is True
     assert typed.first().claim_status == "SUBMITTED" and typed.first().approved_amount is None
@@ -233,6 +233,12 @@ def test_prior_sums_equal_the_plain_window_on_a_hot_key(spark):
     spread = history.prior_sums(frame, bucket_days=3, **ask).select(columns)
     plain = history.prior_window(frame, **ask).select(columns)
     assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
+    keyless = frame.unionByName(frame.limit(3).withColumn("k", F.lit(None).cast("int")))
+    for hot_rows in (500, 10**6):  # with and without a hot key
+        mixed = history.prior_features(keyless, bucket_days=3, hot_rows=hot_rows, **ask)
+        assert mixed.filter("k IS NULL").agg(F.count("*"), F.sum("n_10d")).first()[:] == (3, 0)
+        got = mixed.filter("k IS NOT NULL").select(columns)
+        assert got.exceptAll(plain).count() == 0 and got.count() == plain.count()
 
 
 def test_asof_join_matches_brute_force(spark):
