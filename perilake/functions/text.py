@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def decoded_key(value: str | Column) -> Column:
 
 def is_object_uri(value: str | Column) -> Column:
     return F.coalesce(cleaned(value).startswith("s3://"), F.lit(False))
+
+
+def names_where(conditions: Iterable[tuple[Column, str]]) -> Column:
+    """Distinct names whose condition is true, in the given order.
+
+    Built from set functions that compile, not from lambda functions, which would take every
+    condition out of the generated code.
+    """
+    found = F.array(*[F.when(condition, F.lit(name)) for condition, name in conditions])
+    return F.array_except(found, F.array(F.lit(None).cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilake.functions.money import score
+from perilake.functions.text import names_where
 
 # --- fixed values -----------------------------------------------------------------------
 TERMINAL_STATUSES = ("SUCCEEDED", "FAILED", "DUPLICATE", "QUARANTINED")
@@ -52,20 +53,18 @@ def finish_audit(runs: DataFrame, kind: str = "batch") -> DataFrame:
 
 def audit_errors(audit: DataFrame) -> Column:
     """Messages for one audit row; an empty array is a valid audit."""
-    missing = F.array_compact(F.array(*[
-        F.when(F.col(f).isNull(), F.lit(f)) if f in audit.columns else F.lit(f) for f in sorted(AUDIT_FIELDS)
-    ]))
+    missing = names_where((F.col(f).isNull() if f in audit.columns else F.lit(True), f) for f in sorted(AUDIT_FIELDS))
     have = [f for f in COUNT_FIELDS if f in audit.columns]
     negative = F.lit(False)
     for f in have:
         negative = negative | (F.col(f) < 0)
     reconciles = reconcile_batch() if len(have) == len(COUNT_FIELDS) else F.lit(False)
     flag = F.col("reconciliation_passed") if "reconciliation_passed" in audit.columns else F.lit(None).cast("boolean")
-    found = F.array_compact(F.array(
-        F.when(negative, "audit counts must be non-negative integers"),
-        F.when(~negative & ~reconciles, "batch reconciliation failed"),
-        F.when(~F.coalesce(flag, F.lit(False)), "reconciliation_passed is not true"),
-    ))
+    found = names_where([
+        (negative, "audit counts must be non-negative integers"),
+        (~negative & ~reconciles, "batch reconciliation failed"),
+        (~F.coalesce(flag, F.lit(False)), "reconciliation_passed is not true"),
+    ])
     return F.when(
         F.size(missing) > 0, F.array(F.concat(F.lit("missing audit fields: "), F.array_join(missing, ",")))
     ).otherwise(found)

@@ -12,7 +12,7 @@ from pyspark.sql.types import DataType, DateType, StringType, StructType, Timest
 
 from perilake.functions.identity import NULL_TOKEN, row_hash
 from perilake.functions.temporal import as_date, as_instant
-from perilake.functions.text import cleaned, code
+from perilake.functions.text import cleaned, code, names_where
 
 
 class SchemaMismatch(ValueError):
@@ -135,9 +135,17 @@ def all_hold(rules: Sequence[Rule]) -> Column:
 
 def failed_rules(rules: Sequence[Rule]) -> Column:
     """Sorted distinct names of the broken rules of a row."""
-    return F.array_sort(F.array_distinct(F.array_compact(
-        F.array(*[F.when(rule.broken, F.lit(rule.name)) for rule in rules])
-    )))
+    return F.sort_array(names_where((rule.broken, rule.name) for rule in rules))
+
+
+def rule_violations(frame: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per row and broken rule.
+
+    The outer explode matters: for a plain one Spark adds a not-empty filter below it and
+    repeats every rule in that filter.
+    """
+    listed = frame.select(*keep, F.explode_outer(failed_rules(rules)).alias("failed_rule"))
+    return listed.filter(F.col("failed_rule").isNotNull())
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilake.functions.identity import content_hash
-from perilake.functions.text import WORD_BREAK, has_words, words
+from perilake.functions.text import WORD_BREAK, has_words, names_where, words
 from perilake.operators.joins import changed_versions
 
 # --- fixed values -----------------------------------------------------------------------
@@ -105,9 +105,11 @@ def chunk_documents(
     """
     step = size - overlap
     n = F.size("_words")
-    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step).cast("int"))
-    cut = documents.withColumn("_words", words(text)).filter(n > 0)
-    numbered = cut.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    last = F.when(n > size, F.ceil((n - size) / step).cast("int")).when(n > 0, F.lit(0))
+    # Outer, then filtered: a plain explode would split every text a second time in a filter below it.
+    numbered = documents.withColumn("_words", words(text)).withColumn(
+        "chunk_no", F.explode_outer(F.sequence(F.lit(0), last))
+    ).filter(F.col("chunk_no").isNotNull())
     piece = F.slice("_words", F.col("chunk_no") * step + 1, size)
     return numbered.select(
         *[c for c in documents.columns if c != text], "chunk_no", F.size(piece).alias("chunk_words"),
@@ -136,5 +138,4 @@ def embed(model: PipelineModel, texts: DataFrame, name: str = "embedding") -> Da
 
 def credential_scan(texts: DataFrame, text: str = "text") -> DataFrame:
     """Names of the high-confidence credential patterns found anywhere in each text."""
-    hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in CREDENTIAL_PATTERNS.items()]))
-    return texts.withColumn("credentials", hits)
+    return texts.withColumn("credentials", names_where((F.col(text).rlike(p), n) for n, p in CREDENTIAL_PATTERNS.items()))

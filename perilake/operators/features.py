@@ -11,7 +11,7 @@ from pyspark.sql.types import DatetimeType, NumericType
 from perilake.functions.identity import row_hash
 from perilake.functions.money import zero_if_missing
 from perilake.functions.temporal import iso_event_time, text_date, vehicle_age
-from perilake.functions.text import cleaned, present
+from perilake.functions.text import cleaned, names_where, present
 from perilake.operators.dedup import latest_per_key
 
 # --- fixed values: the feature contract ------------------------------------------------
@@ -212,13 +212,13 @@ def with_row_issues(frame: DataFrame) -> DataFrame:
         (F.col("_bad_as_of"), "as_of_date is null or invalid"),
         (F.col("_as_of") > F.col("_submitted"), "as_of_date is after claim submission"),
     ]
-    found = F.array_compact(F.array(*[F.when(bad, message) for bad, message in checks]))
-    return read.withColumn("issues", found).drop(*[f"_n_{n}" for n in NUMERIC], "_label", "_submitted", "_as_of", "_bad_as_of")
+    return read.withColumn("issues", names_where(checks)).drop(*[f"_n_{n}" for n in NUMERIC], "_label", "_submitted", "_as_of", "_bad_as_of")
 
 
 def issue_counts(frame: DataFrame) -> DataFrame:
     """Kinds of row problems with the number of rows showing each."""
-    return with_row_issues(frame).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
+    listed = with_row_issues(frame).select(F.explode_outer("issues").alias("issue")).filter(F.col("issue").isNotNull())
+    return listed.groupBy("issue").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def dataset_version(frame: DataFrame, columns: Sequence[str], prefix: str = VERSION_PREFIX) -> DataFrame:

@@ -255,7 +255,7 @@ def oltp_checks(t: Tables) -> DataFrame:
         Rule("approved_amount cannot exceed claim_amount", F.col("approved_amount").isNull() | (F.col("approved_amount") <= F.col("claim_amount"))),
         Rule("start_date must be before end_date", F.col("incident_date") < F.to_date("submitted_at")),
     ]
-    broken = enriched_claims(t).select("broker_id", F.explode(contracts.failed_rules(rules)).alias("failed_rule"))
+    broken = contracts.rule_violations(enriched_claims(t), rules, ["broker_id"])
     return broken.groupBy("broker_id", "failed_rule").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -353,7 +353,7 @@ UNION ALL SELECT 'lineitem', 'commission_rate must be between 0 and 0.07', count
 def vocabulary_checks(t: Tables) -> DataFrame:
     suites = [("orders", t.orders, [Rule("o_orderstatus is not an allowed value", F.col("o_orderstatus").isin("O", "F"))]),
               ("lineitem", t.lineitem, [Rule("commission_rate must be between 0 and 0.07", F.col("l_discount").between(0, 0.07))])]
-    parts = [frame.select(F.lit(name).alias("entity"), F.explode(contracts.failed_rules(rules)).alias("failed_rule")) for name, frame, rules in suites]
+    parts = [contracts.rule_violations(frame, rules).withColumn("entity", F.lit(name)) for name, frame, rules in suites]
     return parts[0].unionByName(parts[1]).groupBy("entity", "failed_rule").agg(F.count(F.lit(1)).alias("row_count"))
 
 

@@ -90,8 +90,8 @@ errors AS (
   UNION ALL SELECT 'currency_code must be a 3-character ISO code' FROM txt WHERE p = '3')
 SELECT failed_rule, count(*) AS claim_count FROM errors GROUP BY 1""")
 def claim_errors(t: Tables) -> DataFrame:
-    names = contracts.failed_rules(raw_claim_rules())
-    return read_raw_claims(_text_claims(t)).select(F.explode(names).alias("failed_rule")).groupBy("failed_rule").agg(F.count(F.lit(1)).alias("claim_count"))
+    broken = contracts.rule_violations(read_raw_claims(_text_claims(t)), raw_claim_rules())
+    return broken.groupBy("failed_rule").agg(F.count(F.lit(1)).alias("claim_count"))
 
 
 @query(sql="""SELECT CAST(o_orderkey AS VARCHAR) AS claim_id, 'CLM-' || o_orderkey AS claim_number,
