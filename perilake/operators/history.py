@@ -81,16 +81,16 @@ def prior_features(
 ) -> DataFrame:
     """Prior-window sums: one window for ordinary keys, the spread sweep for hot ones.
 
-    Hot keys are found by a map-side count of the key column alone. There are at most
-    rows / ``hot_rows`` of them, which bounds the broadcast.
+    Hot keys are found by a map-side count of the key column alone and written down, so Spark
+    knows the size of the list and broadcasts it only while it is small.
     """
     ask = {"key": key, "time": time, "measures": measures, "days": days}
     counted = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     hot = durable(counted.filter(F.col("_rows") >= hot_rows).select(key))
     if hot.isEmpty():
         return prior_window(frame, **ask)
-    usual = prior_window(frame.join(F.broadcast(hot), key, "left_anti"), **ask)
-    busy = prior_sums(frame.join(F.broadcast(hot), key, "left_semi"), bucket_days=bucket_days, **ask)
+    usual = prior_window(frame.join(hot, key, "left_anti"), **ask)
+    busy = prior_sums(frame.join(hot, key, "left_semi"), bucket_days=bucket_days, **ask)
     return usual.unionByName(busy)
 
 

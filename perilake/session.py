@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
@@ -40,7 +42,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     session without one is an error: a machine-local folder would be lost with its executor.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
+    current = context.getCheckpointDir()  # already set, or taken from spark.checkpoint.dir
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,13 +55,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder and cut its lineage.
+    """Write a frame to the shared checkpoint folder and read it back.
 
-    Used where a later step must see exactly the same rows in the same partitions, and
-    where a lost executor must not change an answer that was already used.
+    Used where a later step must see exactly the same rows in the same ranges, and where a
+    lost executor must not change an answer that was already used. A Parquet table rather than
+    an RDD checkpoint: it is compressed, later steps read only the columns they need, and the
+    planner knows its size.
     """
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    spark = frame.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def reducers(spark: SparkSession) -> int:

@@ -32,6 +32,16 @@ def enriched_fact(t: Tables) -> DataFrame:
     })
 
 
+@query(sql=f"""WITH {CLAIM_LINES} SELECT o_custkey AS customer_id, o_orderstatus AS claim_status, count(*) AS claim_count, CAST(sum(claim_amount) AS DOUBLE) AS total_claim_amount
+FROM claims JOIN orders ON policy_id = o_orderkey GROUP BY 1, 2""")
+def spread_claims_to_policies(t: Tables) -> DataFrame:
+    """Claims meet their policy by a join that spreads the policies holding most of the claims."""
+    policies = t.orders.select(F.col("o_orderkey").alias("policy_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("claim_status"))
+    joined = joins.spread_join(claim_lines(t), policies, "policy_id", share=0.0001)
+    return joined.groupBy("customer_id", "claim_status").agg(
+        F.count(F.lit(1)).alias("claim_count"), F.sum("claim_amount").cast("double").alias("total_claim_amount"))
+
+
 def _policies(t: Tables) -> DataFrame:
     return marts.policy_performance(enriched_claims(t), POLICY_KEYS)
 
