@@ -21,6 +21,7 @@ ANALYST_EXCLUDED = ("customer_id", "claim_number", "policy_number", "provider_re
 ANALYST_RISK_COLUMNS = ("claim_id", "high_risk_probability", "risk_level", "model_version",
                         "prediction_timestamp", "_run_id", "_ingested_at", "_effective_at")
 ML_TABLES = ("claim_risk_features", "claim_risk")
+REFERENCE_NUMBERS = ("policy_number", "claim_number", "provider_reference")
 PERSONAS = ("DataEngineer", "Analyst", "MLEngineer", "RAGApplication")
 # ----------------------------------------------------------------------------------------
 
@@ -69,6 +70,11 @@ def classify(column: str) -> tuple[str, bool]:
     return "LOW", False
 
 
+def without_personal_data(frame: DataFrame) -> DataFrame:
+    """Dimension form of an entity: no direct personal data and no sensitive reference numbers."""
+    return frame.drop(*[c for c in frame.columns if c in HIGH or c in REFERENCE_NUMBERS])
+
+
 def pii_columns(frame: DataFrame) -> DataFrame:
     """Every column with its classification and the number of values it exposes (non-null)."""
     filled = frame.agg(*[F.count(c).alias(c) for c in frame.columns])

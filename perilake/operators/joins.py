@@ -58,12 +58,13 @@ def spread_join(
 
     Rows of hot keys are spread over ``copies`` sub-keys and the matching rows of the other side
     are repeated for each. The sub-key comes from the map partition, so a retried task sends
-    its rows to the same place and exact copies still spread. There are at most 1/share hot keys;
-    their list is written down, so Spark knows its size when it picks the join.
+    its rows to the same place and exact copies still spread. There are at most 1/share hot keys
+    whatever the size of the table, so their list is always small enough to broadcast, and it
+    must be: the salt has to be read before the rows are shuffled.
     """
     if how not in ("inner", "left"):
         raise ValueError("spread_join supports inner and left joins")
-    hot = durable(hot_keys(fact, key, share)).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(durable(hot_keys(fact, key, share)).withColumn("_hot", F.lit(True)))
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     left = fact.join(hot, key, "left").withColumn(
         "_spread", F.when(is_hot, F.spark_partition_id() % copies).otherwise(0)

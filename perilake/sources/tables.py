@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -58,9 +59,10 @@ class Lakehouse:
     def stage(self, frame: DataFrame, layer: str, table: str, run_id: str, counts: Mapping[str, Column] | None = None) -> Staged:
         """Write a full snapshot to a folder of its own, not visible to readers yet.
 
-        ``counts`` are aggregates collected while writing, so no second pass is needed.
+        ``counts`` are aggregates collected while writing, so no second pass is needed. The folder
+        is new for every try: repeating a run never writes into the version readers are on.
         """
-        folder = f"{self.root}/{layer}/{table}/{run_id}"
+        folder = f"{self.root}/{layer}/{table}/{run_id}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
         measured = {"rows": F.count(F.lit(1)), **(counts or {})}
         observed = frame.observe(seen, *[c.alias(n) for n, c in measured.items()])

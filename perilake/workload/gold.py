@@ -295,7 +295,16 @@ def pii_columns(t: Tables) -> DataFrame:
 def dim_customer(t: Tables) -> DataFrame:
     """Customer dimension without direct personal data."""
     named = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("last_name"), "c_nationkey", "c_mktsegment")
-    return named.drop(*[c for c in named.columns if governance.classify(c)[0] == "HIGH"])
+    return governance.without_personal_data(named)
+
+
+@query(sql="""SELECT o_orderkey AS policy_id, o_custkey AS customer_id, o_orderstatus AS policy_status, strftime(o_orderdate, '%Y-%m-%d') AS start_date, o_totalprice AS premium_amount FROM orders""")
+def dim_policy(t: Tables) -> DataFrame:
+    """Policy dimension without the policy number."""
+    named = t.orders.select(
+        F.col("o_orderkey").alias("policy_id"), F.concat(F.lit("POL-"), "o_orderkey").alias("policy_number"), F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderstatus").alias("policy_status"), day("o_orderdate").alias("start_date"), F.col("o_totalprice").alias("premium_amount"))
+    return governance.without_personal_data(named)
 
 
 # --- documented marts -------------------------------------------------------------------------
