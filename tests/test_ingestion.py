@@ -79,6 +79,11 @@ def test_in_file_duplicate_collapses_when_gated_after_dedup(lake, tmp_path):
     result = run_file(lake, path, "run-v", gate_when="after_dedup")
     assert result.counts["silver"] == {"input": 2, "output": 1, "rejected": 0, "duplicate": 1}
     assert str(lake.read_layer("silver", "claim").first().claim_amount) == "120.00"
+    held = lake.read_layer("silver", "claim")
+    other = write_csv(tmp_path / "in/broker_claims_w.csv", [claim(claim_amount="7")])
+    run_file(lake, other, "run-v")  # the same run id again must not touch the version in use
+    assert str(held.first().claim_amount) == "120.00"
+    assert str(lake.read_layer("silver", "claim").first().claim_amount) == "7.00"
 
 
 def test_bad_recovery_duplicate_drill(lake, tmp_path, spark):
