@@ -2,6 +2,7 @@
 
 from perilake.llm import (  # noqa: F401
     line_dedup,
+    mixing,
 )
 from perilake.llm.common import QUERIES, SQL
 
