@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilake.llm.common import durable, query, same, table
+from perilake.llm.common import durable, query, table
 from perilake.operators.ordering import ordered_index, running_before
 
 WEIGHTS = (5, 2, 1)
 ROUNDS = 16  # of the permutation
+SOURCE = ["__none", "__name"]  # whether the source is missing, and its name; never NULL, in order
 
 
 def word_count(text: str) -> Column:
@@ -43,8 +44,8 @@ def source_targets(sized: DataFrame, share: float, limit: float) -> DataFrame:
     Sources by rising ratio of limit to weight reach their limit first, so one pass over that order
     finds who stops: a source stops if its ratio is below the level the rest could still get.
     """
-    totals = sized.groupBy("__source").agg(F.sum("__size").alias("__total"))
-    placed = ordered_index(totals.withColumn("__none", F.col("__source").isNull()), ["__none", "__source"], "__rank")
+    totals = sized.groupBy(*SOURCE).agg(F.sum("__size").alias("__total"))
+    placed = ordered_index(totals, SOURCE, "__rank")
     weighed = placed.withColumn("__weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("__rank") % len(WEIGHTS) + 1).cast("int")))
     weighed = weighed.withColumns({"__most": F.col("__total") * F.lit(float(limit)), "__ratio": F.col("__total") * F.lit(float(limit)) / F.col("__weight")})
     before = durable(running_before(weighed, ["__ratio", "__rank"], {"__stopped": "__most", "__gone": "__weight"}))
@@ -55,7 +56,7 @@ def source_targets(sized: DataFrame, share: float, limit: float) -> DataFrame:
     free = levelled.filter("__level < __ratio").agg(F.min(F.struct("__ratio", "__rank", "__level")).alias("__free"))
     bounded = levelled.join(F.broadcast(free)).withColumn("__fair", F.col("__weight") * F.col("__free.__level"))
     return bounded.select(
-        "__source", "__rank", F.col("__total").alias("__source_size"), "__weight",
+        *SOURCE, "__rank", F.col("__total").alias("__source_size"), "__weight",
         F.when(F.col("__free").isNull(), F.col("__most")).otherwise(F.least("__most", "__fair")).alias("__target"),
     )
 
@@ -113,10 +114,11 @@ def mix_sources(
     taken`` and its place ``first_word`` in the source's stream.
     """
     # Named apart from any input column; a size is computed once and written down with its offset.
-    sized = documents.select(F.col(doc_id).alias("__doc"), F.col(source).alias("__source"), word_count(text).alias("__size"))
-    streams = durable(running_before(
-        sized.withColumn("__none", F.col("__source").isNull()), ["__doc", "__size"], {"__start": "__size"}, within=["__none", "__source"],
-    ))
+    sized = documents.select(
+        F.col(doc_id).alias("__doc"), F.col(source).isNull().alias("__none"), F.coalesce(F.col(source), F.lit("")).alias("__name"),
+        word_count(text).alias("__size"),
+    )
+    streams = durable(running_before(sized, ["__doc", "__size"], {"__start": "__size"}, within=SOURCE))
     targets = durable(source_targets(streams, share, limit))
     blocks = F.ceil(F.col("__source_size") / block_words)
     quota = F.when(F.col("__source_size") > 0, F.round(F.col("__target") * F.col("__blocks") / F.col("__source_size"))).otherwise(0)
@@ -127,7 +129,7 @@ def mix_sources(
     })
     mapped = permuted(slots, "__place", "__blocks", "__block", F.lit(seed), F.col("__rank"), F.col("__pass"))
 
-    ranked = streams.join(targets.drop("__target", "__weight"), same(streams["__source"], targets["__source"])).drop(targets["__source"])
+    ranked = streams.join(targets.drop("__target", "__weight"), SOURCE)
     pieces = ranked.filter("__size > 0").withColumn(
         "__block", F.explode(F.sequence(F.floor(F.col("__start") / block_words), F.floor((F.col("__start") + F.col("__size") - 1) / block_words)))
     ).withColumn("__words", F.least(F.col("__start") + F.col("__size"), (F.col("__block") + 1) * block_words) - F.greatest(F.col("__start"), F.col("__block") * block_words))
@@ -135,15 +137,16 @@ def mix_sources(
     parts = pieces.select("__rank", "__block", "__doc", "__start", "__size", "__words").join(reads, ["__rank", "__block"])
     used = parts.groupBy("__rank", "__start", "__doc", "__size").agg(F.sum(F.col("__words") * F.col("__reads")).alias("__taken"))
     used = used.select(F.col("__rank").alias("__r"), F.col("__start").alias("__s"), "__taken")
-    whole = streams.join(targets.withColumnRenamed("__source", "__of"), same(F.col("__source"), F.col("__of")))
+    whole = streams.join(targets, SOURCE)
+    named = F.when(~F.col("__none"), F.col("__name")).alias("source")
     at = (F.col("__rank") == F.col("__r")) & (F.col("__start") == F.col("__s")) & (F.col("__size") > 0)
     report = whole.join(used, at, "left").select(
-        F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"),
+        F.col("__doc").alias("doc_id"), named, F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"), F.col("__target").cast("double").alias("target"),
         F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"), F.col("__start").alias("first_word"),
     )
-    mixed = mapped.join(targets.select("__rank", "__source"), "__rank").select(
-        F.col("__shard").alias("shard"), F.col("__k").alias("slot"), F.col("__source").alias("source"),
+    mixed = mapped.join(targets.select("__rank", *SOURCE), "__rank").select(
+        F.col("__shard").alias("shard"), F.col("__k").alias("slot"), named,
         F.col("__block").alias("block"), F.col("__pass").alias("pass"),
     )
     return mixed, report
