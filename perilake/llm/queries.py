@@ -3,6 +3,7 @@
 from perilake.llm import (  # noqa: F401
     line_dedup,
     mixing,
+    secret_scan,
     token_counts,
 )
 from perilake.llm.common import QUERIES, SQL
