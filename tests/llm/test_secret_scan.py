@@ -34,7 +34,7 @@ def test_base_spans(spark):
 def test_models_add_random_strings(spark, secret):
     prose = "the reader finds ordinary words like containerRuntimeOptions2 and some_long_identifier_name here. " * 400
     frame = spark.createDataFrame([(1, prose), (2, f"{prose} {secret} {prose}")], "doc_id long, text string")
-    got = {r.doc_id: r for r in scan_secrets(frame).collect()}
+    got = {r.doc_id: r for r in scan_secrets(frame, threshold=1.5).collect()}
     assert got[1].spans == ""
     assert got[2].spans == f"markov:{len(prose) + 1}:{len(prose) + 1 + len(secret)}"
 
