@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from perilake.llm.common import durable, query, table
 from perilake.operators.ordering import ordered_index, running_before
+from perilake.session import reducers
 
 WEIGHTS = (5, 2, 1)
 ROUNDS = 16  # of the permutation
@@ -123,7 +124,8 @@ def mix_sources(
     blocks = F.ceil(F.col("__source_size") / block_words)
     quota = F.when(F.col("__source_size") > 0, F.round(F.col("__target") * F.col("__blocks") / F.col("__source_size"))).otherwise(0)
     quotas = targets.withColumn("__blocks", blocks).withColumn("__quota", F.least(quota, F.floor(F.col("__blocks") * limit)).cast("long"))
-    shards = draw_shards(quotas, shard_slots, seed)
+    # Few rows that become many: dealt out by number, so they aren't gathered into one task by their bytes.
+    shards = draw_shards(quotas, shard_slots, seed).repartition(reducers(documents.sparkSession), "__shard", "__rank")
     slots = shards.withColumn("__k", F.explode(F.sequence("__first", "__last"))).withColumns({
         "__pass": F.floor(F.col("__k") / F.col("__blocks")), "__place": F.col("__k") % F.col("__blocks"),
     })
