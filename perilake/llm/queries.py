@@ -4,6 +4,7 @@ from perilake.llm import (  # noqa: F401
     decontamination,
     line_dedup,
     mixing,
+    ngram_join,
     quality,
     secret_scan,
     token_counts,
