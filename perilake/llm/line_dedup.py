@@ -128,9 +128,9 @@ KEPT = StructType().add("lines", "long").add("dropped", "long").add("kept", "str
 
 
 @F.pandas_udf(KEPT)
-def _keep(text: pd.Series, drop1: pd.Series, drop2: pd.Series, min_chars: pd.Series) -> pd.DataFrame:
+def _keep(text: pd.Series, drop1: pd.Series, drop2: pd.Series, min_chars: pd.Series, spare: pd.Series) -> pd.DataFrame:
     out = []
-    for value, one, two, least in zip(text, drop1, drop2, min_chars, strict=True):
+    for value, one, two, least, spared in zip(text, drop1, drop2, min_chars, spare, strict=True):
         lines = (value or "").split("\n")
         if one is None or not len(one):
             out.append((len(lines), 0, value or ""))
@@ -138,24 +138,28 @@ def _keep(text: pd.Series, drop1: pd.Series, drop2: pd.Series, min_chars: pd.Ser
         gone = set(zip(map(int, one), map(int, two), strict=True))
         hashes = key_hashes([x.encode() for x in lines], least).tolist()
         kept = [line for line, (a, b) in zip(lines, hashes, strict=True) if (a, b) not in gone]
+        if spared and not any(map(str.strip, kept)):
+            kept = lines
         out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return pd.DataFrame(out, columns=["lines", "dropped", "kept"])
 
 
 def dedup_lines(
     documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1,
-    batches: int = 4, fanout: int = 2,
+    batches: int = 4, fanout: int = 2, spare_copies: bool = False,
 ) -> DataFrame:
     """Documents with ``text`` freed of lines whose key occurs in ``min_docs`` documents or more.
 
     Adds ``n_lines`` (before) and ``n_dropped``; columns of these names in the input are replaced.
+    With ``spare_copies`` a document that would lose every line is left whole: it is a copy of other
+    documents, which is for a later stage to settle, and its text would vanish with all its copies.
     """
     frequent = frequent_keys(documents, text, min_docs, min_chars, batches, fanout)
     named = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     hits = document_keys(named, ["__id"], "__text", min_chars).join(frequent, KEY, "left_semi")
     drops = hits.groupBy("__id").agg(F.collect_set(F.struct(*KEY)).alias("__drop"))
     met = documents.join(drops, same(F.col(doc_id), F.col("__id")), "left")
-    judged = met.withColumn("__kept", _keep(text, F.col("__drop.__h1"), F.col("__drop.__h2"), F.lit(min_chars)))
+    judged = met.withColumn("__kept", _keep(text, F.col("__drop.__h1"), F.col("__drop.__h2"), F.lit(min_chars), F.lit(spare_copies)))
     return judged.withColumns({
         text: F.col("__kept.kept"), "n_lines": F.col("__kept.lines"), "n_dropped": F.col("__kept.dropped"),
     }).drop("__id", "__drop", "__kept")
