@@ -8,6 +8,7 @@ from perilake.llm import (  # noqa: F401
     quality,
     secret_scan,
     token_counts,
+    vector_search,
 )
 from perilake.llm.common import QUERIES, SQL
 
