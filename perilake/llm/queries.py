@@ -3,6 +3,7 @@
 from perilake.llm import (  # noqa: F401
     decontamination,
     line_dedup,
+    license_scan,
     mixing,
     ngram_join,
     quality,
