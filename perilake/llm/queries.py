@@ -8,6 +8,7 @@ from perilake.llm import (  # noqa: F401
     ngram_join,
     quality,
     secret_scan,
+    substring_dedup,
     token_counts,
     vector_search,
 )
