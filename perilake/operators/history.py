@@ -8,96 +8,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.temporal import DAY_MICROS, micros
-from perilake.session import durable
+from perilake.operators.ordering import range_ordered, running_before
 
 
-def prior_sums(
-    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int], bucket_days: float = 30,
+def prior_features(
+    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int],
 ) -> DataFrame:
     """For each row: sums of ``measures`` over the same key in [t - N days, t), per N.
 
-    Output columns are ``<measure>_<N>d``. The row itself and rows at the same instant are
-    excluded, so the answer depends only on (key, time) and is computed once per such point.
+    Output columns are ``<measure>_<N>d`` after the input's own, of the type Spark's sum gives. The
+    row itself and rows at the same instant are excluded. Rows without a key or a time have no
+    history (0) and belong to none.
 
-    A frame over one window per key would put a key with a third of all rows into one task.
-    Here each point asks for "sum strictly before x" at x = t and x = t - N days, and the
-    difference is the answer. Rows are first added up per point (map-side). Questions and
-    values are then swept in time order per (key, time bucket), and the totals of earlier
-    buckets come from one row per (key, bucket). The final join meets one answer per row.
+    The answer depends only on (key, time) and is computed once per such point. Time is cut into
+    blocks of N days: the frame of t covers the end of one block, from t - N days on, and the start
+    of the next, up to t. Both are running sums inside a block, from the end backwards and from the
+    start, and are added; nothing is subtracted, so no digits are lost. The running sums are taken
+    over ranges cut by row count, so a key with a third of all rows is spread over many tasks.
     """
     names = list(measures)
+    kinds = {m: frame.select(F.sum(c).alias(m)).schema[m].dataType for m, c in measures.items()}
     points = (
         frame.select(F.col(key).alias("_k"), micros(time).alias("_t"), *[F.col(c).alias(f"_v_{m}") for m, c in measures.items()])
-        .groupBy("_k", "_t").agg(*[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names])
-    )
-    zeros = [F.lit(0).cast(points.schema[f"_v_{m}"].dataType).alias(f"_v_{m}") for m in names]
-    bucket = F.floor(F.col("_x") / int(bucket_days * DAY_MICROS)).alias("_b")
-
-    # Kind 0 asks, kind 1 adds; at equal time questions come first, so "before" is strict.
-    adds = points.select("_k", F.col("_t").alias("_x"), F.lit(1).alias("_kind"), F.lit(0).alias("_back"), *[f"_v_{m}" for m in names])
-    asks = points.withColumn("_back", F.explode(F.array(*[F.lit(n) for n in (0, *days)]))).select(
-        "_k", (F.col("_t") - F.col("_back") * F.lit(DAY_MICROS)).alias("_x"), F.lit(0).alias("_kind"), "_back", *zeros
+        .dropna(subset=["_k", "_t"]).groupBy("_k", "_t").agg(*[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names])
     )
-    swept = adds.unionByName(asks).select("*", bucket)
-
-    totals = swept.groupBy("_k", "_b").agg(*[F.sum(f"_v_{m}").alias(f"_v_{m}") for m in names])
-    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_k", "_b", *[F.coalesce(F.sum(f"_v_{m}").over(earlier), F.lit(0)).alias(f"_c_{m}") for m in names])
 
-    in_bucket = Window.partitionBy("_k", "_b").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = swept.withColumns({f"_s_{m}": F.sum(f"_v_{m}").over(in_bucket) for m in names}).filter("_kind = 0")
-    answered = local.join(starts, ["_k", "_b"]).select(
-        "_k", (F.col("_x") + F.col("_back") * F.lit(DAY_MICROS)).alias("_t"), "_back",
-        *[(F.col(f"_s_{m}") + F.col(f"_c_{m}")).alias(f"_a_{m}") for m in names],
+    def entry(tag: int, place, after: int, asks: bool, block):
+        return F.struct(F.lit(tag).alias("tag"), place.alias("place"), F.lit(after).alias("after"), F.lit(asks).alias("asks"), block.alias("block"))
+
+    entries, at = [], F.col("_t")
+    for number, n in enumerate(days):
+        width = F.lit(n * DAY_MICROS)
+        from_ = at - width
+        block = lambda t, w=width: F.floor(t / w)
+        # Rising in time a question comes before values of its instant, falling in time after them.
+        entries += [entry(2 * number, at, 1, False, block(at)), entry(2 * number, at, 0, True, block(at)),
+                    entry(2 * number + 1, -at, 0, False, block(at)), entry(2 * number + 1, -from_, 1, True, block(from_))]
+    listed = points.withColumn("_e", F.explode(F.array(*entries))).select(
+        "_k", "_t", *[F.col(f"_e.{c}").alias(f"_{c}") for c in ("tag", "place", "after", "asks", "block")],
+        *[F.when(~F.col("_e.asks"), F.col(f"_v_{m}")).alias(f"_v_{m}") for m in names],
     )
-    at = lambda m, n: F.max(F.when(F.col("_back") == n, F.col(f"_a_{m}")))
-    wide = answered.groupBy("_k", "_t").agg(*[(at(m, 0) - at(m, n)).alias(f"{m}_{n}d") for m in names for n in days])
-    return frame.join(wide, (F.col(key) == F.col("_k")) & (micros(time) == F.col("_t")), "left").drop("_k", "_t")
-
-
-def prior_window(
-    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int],
-) -> DataFrame:
-    """Same answer as :func:`prior_sums` from one range-frame window per key.
-
-    One shuffle and no re-join, for keys that fit a task. Rows without a key have no history;
-    they are spread over the map partitions instead of forming one group.
-    """
-    at = micros(time)
-    nobody = F.when(F.col(key).isNull(), F.spark_partition_id())
-    placed = frame.withColumn("_nobody", nobody)
-    frames = {n: Window.partitionBy(key, "_nobody").orderBy(at).rangeBetween(-n * DAY_MICROS, -1) for n in days}
-    prior = lambda c, w: F.when(F.col(key).isNotNull(), F.coalesce(F.sum(c).over(w), F.lit(0))).otherwise(F.lit(0))
-    return placed.withColumns({f"{m}_{n}d": prior(c, w) for n, w in frames.items() for m, c in measures.items()}).drop("_nobody")
-
-
-# A key with more rows than this does not get a task of its own.
-HOT_ROWS = 1_000_000
-
-
-def prior_features(
-    frame: DataFrame, *, key: str, time: str, measures: Mapping[str, str], days: Sequence[int],
-    bucket_days: float = 30, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Prior-window sums: one window for ordinary keys, the spread sweep for hot ones.
-
-    Hot keys are found by a map-side count of the key column alone and written down, so Spark
-    knows the size of the list and broadcasts it only while it is small.
-    """
-    ask = {"key": key, "time": time, "measures": measures, "days": days}
-    counted = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = durable(counted.filter(F.col("_rows") >= hot_rows).select(key))
-    if hot.isEmpty():
-        return prior_window(frame, **ask)
-    usual = prior_window(frame.join(hot, key, "left_anti"), **ask)
-    busy = prior_sums(frame.join(hot, key, "left_semi"), bucket_days=bucket_days, **ask)
-    return usual.unionByName(busy)
+    swept = running_before(listed, ["_place", "_after"], {f"_s_{m}": f"_v_{m}" for m in names}, within=["_tag", "_k", "_block"])
+    mine = lambda m, number: F.sum(F.when(F.floor(F.col("_tag") / 2) == number, F.col(f"_s_{m}")))
+    wide = swept.filter("_asks").groupBy("_k", "_t").agg(*[
+        mine(m, number).cast(kinds[m]).alias(f"_a_{m}_{n}") for m in names for number, n in enumerate(days)
+    ])
+    joined = frame.join(wide, (F.col(key) == F.col("_k")) & (micros(time) == F.col("_t")), "left")
+    return joined.select(*[frame[c] for c in frame.columns], *[
+        F.coalesce(F.col(f"_a_{m}_{n}"), F.lit(0).cast(kinds[m])).alias(f"{m}_{n}d") for m in names for n in days
+    ])
 
 
 def neighbour(
     frame: DataFrame, *, key: str, bucket: str, order: Sequence[str], value: str, name: str, following: bool = False,
 ) -> DataFrame:
-    """``lag`` (or ``lead``) of a column per key, computed per (key, bucket).
+    """``lag`` (or ``lead``) of a column per key, computed per (key, bucket), a range of an ordered frame.
 
     ``bucket`` must grow with ``order``. Only the first row of a bucket looks outside it, and it
     takes the edge value of the nearest other bucket, from one row per (key, bucket). A key with
@@ -113,43 +78,39 @@ def neighbour(
     return local.join(edges, [key, bucket]).withColumn(name, found).drop("_near", "_nth", "_edge")
 
 
-def status_history(
-    changes: DataFrame, *, key: str, status: str, time: str, tie: str, bucket_days: float = 30,
-) -> DataFrame:
+def status_history(changes: DataFrame, *, key: str, status: str, time: str, tie: str) -> DataFrame:
     """Intervals [valid_from, valid_to) per status change; the last one is open.
 
-    A change to the status already held is not a transition and is merged into its interval.
+    A change to the status already held is not a transition and is merged into its interval. Ranges
+    are cut on (key, time) by row count, so a busy key is spread however dense its time is.
     """
-    width = int(bucket_days * DAY_MICROS)
-    bucketed = changes.filter(F.col(key).isNotNull()).withColumn("_b", F.floor(micros(time) / width))
-    seen = neighbour(bucketed, key=key, bucket="_b", order=[time, tie], value=status, name="previous_status")
+    held = changes.filter(F.col(key).isNotNull()).select(key, status, time, tie)
+    ranged = range_ordered(held, [key, time, tie])
+    seen = neighbour(ranged, key=key, bucket="_part", order=[time, tie], value=status, name="previous_status")
     moves = seen.filter(~F.col("previous_status").eqNullSafe(F.col(status)))
-    closed = neighbour(moves, key=key, bucket="_b", order=[time, tie], value=time, name="valid_to", following=True)
+    closed = neighbour(moves, key=key, bucket="_part", order=[time, tie], value=time, name="valid_to", following=True)
     return closed.select(
         key, "previous_status", F.col(status).alias("status"), F.col(time).alias("valid_from"), "valid_to", F.col(tie).alias("source_order")
     )
 
 
-def overlapping_validity(
-    versions: DataFrame, *, key: str, start: str, end: str, bucket_days: float = 365,
-) -> DataFrame:
+def overlapping_validity(versions: DataFrame, *, key: str, start: str, end: str) -> DataFrame:
     """Versions that start before an earlier version of the same key has ended.
 
     An open end never ends. The running maximum of ends catches overlap with any earlier
-    version, not only the neighbour; earlier buckets contribute their own maximum.
+    version, not only the neighbour; earlier ranges contribute their own maximum. Ranges are cut
+    on (key, start) by row count.
     """
     forever = F.lit("9999-12-31").cast("timestamp")
     until = F.coalesce(F.col(end).cast("timestamp"), forever)
-    rows = versions.withColumns({
-        "_until": until, "_b": F.floor(micros(start) / int(bucket_days * DAY_MICROS)),
-    })
+    rows = range_ordered(versions.withColumn("_until", until), [key, start, "_until"])
     before = lambda *by: Window.partitionBy(key, *by)
-    inside = before("_b").orderBy(start, "_until").rowsBetween(Window.unboundedPreceding, -1)
-    across = before().orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    edges = rows.groupBy(key, "_b").agg(F.max("_until").alias("_edge")).select(key, "_b", F.max("_edge").over(across).alias("_edge"))
-    seen = rows.withColumn("_near", F.max("_until").over(inside)).join(edges, [key, "_b"])
+    inside = before("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    across = before().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(key, "_part").agg(F.max("_until").alias("_edge")).select(key, "_part", F.max("_edge").over(across).alias("_edge"))
+    seen = rows.withColumn("_near", F.max("_until").over(inside)).join(edges, [key, "_part"])
     overlap = F.col(start).cast("timestamp") < F.greatest("_near", "_edge")
-    return seen.filter(overlap).drop("_until", "_b", "_near", "_edge")
+    return seen.filter(overlap).select(*versions.columns)
 
 
 def tenure_days(as_of: str, since: str) -> Column:

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilake.functions.temporal import DAY_MICROS, micros
+from perilake.functions.temporal import micros
 from perilake.functions.text import present
+from perilake.operators.ordering import range_ordered, running_before
 from perilake.session import durable
 
 
@@ -45,34 +46,32 @@ def star_join(fact: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
 
 
 def hot_keys(frame: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Keys holding at least ``share`` of the rows: never more than 1/share of them."""
+    """Keys holding at least ``share`` of the rows, and how many: never more than 1/share of them."""
     sized = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sized.agg(F.sum("_rows")).first()[0] or 0
-    return sized.filter(F.col("_rows") >= max(share * total, 1)).select(key)
+    total = sized.agg(F.sum("_rows").alias("_all"))
+    return sized.join(F.broadcast(total)).filter(F.col("_rows") >= F.greatest(F.col("_all") * share, F.lit(1))).select(key, "_rows")
 
 
 def spread_join(
-    fact: DataFrame, other: DataFrame, key: str, how: str = "inner", copies: int = 16, share: float = 0.01,
+    fact: DataFrame, other: DataFrame, key: str, how: str = "inner", share: float = 0.01, rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """Equi-join of two large frames where single keys of ``fact`` hold much of it.
 
-    Rows of hot keys are spread over ``copies`` sub-keys and the matching rows of the other side
-    are repeated for each. The sub-key comes from the map partition, so a retried task sends
-    its rows to the same place and exact copies still spread. There are at most 1/share hot keys
-    whatever the size of the table, so their list is always small enough to broadcast, and it
-    must be: the salt has to be read before the rows are shuffled.
+    Rows of a hot key are spread over as many sub-keys as it has times ``rows_per_task`` rows, and
+    the matching rows of the other side are repeated for each. The sub-key comes from a hash of the
+    row and its map partition, so a retried task sends its rows to the same place and exact copies
+    still spread. There are at most 1/share hot keys whatever the size of the table, so their list is
+    always small enough to broadcast, and it must be: the salt has to be read before the rows are
+    shuffled.
     """
     if how not in ("inner", "left"):
         raise ValueError("spread_join supports inner and left joins")
-    hot = F.broadcast(durable(hot_keys(fact, key, share)).withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    left = fact.join(hot, key, "left").withColumn(
-        "_spread", F.when(is_hot, F.spark_partition_id() % copies).otherwise(0)
-    ).drop("_hot")
-    every = F.sequence(F.lit(0), F.lit(copies - 1))
-    right = other.join(hot, key, "left").withColumn(
-        "_spread", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+    copies = F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_copies")
+    hot = F.broadcast(durable(hot_keys(fact, key, share).select(key, copies)))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[c for c in fact.columns]), F.coalesce("_copies", F.lit(1))).cast("int")
+    left = fact.join(hot, key, "left").withColumn("_spread", salt).drop("_copies")
+    every = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    right = other.join(hot, key, "left").withColumn("_spread", F.explode(every)).drop("_copies")
     return left.join(right, [key, "_spread"], how).drop("_spread")
 
 
@@ -194,22 +193,19 @@ def match_manifest(features: DataFrame, manifest: DataFrame, keys: Sequence[str]
 
 def asof_join(
     facts: DataFrame, versions: DataFrame, *, key: str, time: str, version_time: str,
-    take: Mapping[str, str], bucket_days: float = 30, effective_to: str | None = None,
-    tie: str | None = None,
+    take: Mapping[str, str], effective_to: str | None = None, tie: str | None = None,
 ) -> DataFrame:
     """Add the newest version at or before each fact's time, or NULL.
 
     The answer depends only on (key, time), so facts are first reduced to their distinct
     points; rows at one point, even a third of the table, ask once. Points and versions are
-    stacked and carried forward per (key, time bucket), so a busy key is spread over its
-    buckets. What a bucket inherits is the newest version of earlier buckets, from one row per
-    (key, bucket). No fact meets more than the version it takes.
+    stacked, cut into ranges of (key, time) by row count and carried forward per (key, range), so
+    a busy key is spread however dense its time is. What a range inherits is the newest version of
+    earlier ranges, from one row per (key, range). No fact meets more than the version it takes.
 
     ``effective_to`` drops the taken version when the fact is at or past its end. ``tie``
     settles versions with equal time. ``take`` maps output names to version columns.
     """
-    width = int(bucket_days * DAY_MICROS)
-    bucket = F.floor(F.col("_t") / width).alias("_b")
     payload = F.struct(
         F.col("_t").alias("t"),
         (F.col(tie) if tie else F.lit(0)).alias("tie"),
@@ -218,13 +214,13 @@ def asof_join(
     )
     keyed = (
         versions.withColumn("_t", micros(version_time)).filter(F.col("_t").isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("_k"), "_t", bucket, payload.alias("_version"), F.lit(1).alias("_kind"))
+        .select(F.col(key).alias("_k"), "_t", payload.alias("_version"), F.lit(1).alias("_kind"))
     )
     empty = F.lit(None).cast(keyed.schema["_version"].dataType).alias("_version")
     points = facts.select(F.col(key).alias("_k"), micros(time).alias("_t")).dropna().distinct().select(
-        "_k", "_t", bucket, empty, F.lit(2).alias("_kind")
+        "_k", "_t", empty, F.lit(2).alias("_kind")
     )
-    stacked = points.unionByName(keyed)
+    stacked = range_ordered(points.unionByName(keyed), ["_k", "_t", "_kind", F.col("_version").asc_nulls_first()]).withColumnRenamed("_part", "_b").drop("_local")
 
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     newest = stacked.groupBy("_k", "_b").agg(F.max("_version").alias("_version"))
@@ -249,9 +245,18 @@ def asof_join(
 
 
 def future_reference_count(facts: DataFrame, versions: DataFrame, *, key: str, time: str, version_time: str) -> DataFrame:
-    """Joined reference rows newer than the prediction they would be used for."""
-    side = versions.select(F.col(key).alias("_k"), F.col(version_time).alias("_vt"))
-    joined = facts.select(F.col(key).alias("_fk"), F.col(time).alias("_t")).join(side, F.col("_fk") == F.col("_k"))
-    return joined.agg(
-        F.count(F.lit(1)).alias("compared_rows"), F.count_if(F.col("_vt") > F.col("_t")).alias("future_rows")
+    """Joined reference rows, and those newer than the prediction they would be used for.
+
+    Counted without pairing: facts and versions are counted per (key, time), and the versions later
+    than a fact are a running count over the key from its newest version back.
+    """
+    asked = facts.select(F.col(key).alias("_k"), F.col(time).cast("timestamp").alias("_t"), F.lit(1).alias("_facts"), F.lit(0).alias("_versions"))
+    known = versions.select(F.col(key).alias("_k"), F.col(version_time).cast("timestamp").alias("_t"), F.lit(0).alias("_facts"), F.lit(1).alias("_versions"))
+    counted = durable(
+        asked.unionByName(known).filter(F.col("_k").isNotNull()).groupBy("_k", "_t")
+        .agg(F.sum("_facts").alias("_facts"), F.sum("_versions").alias("_versions"))
     )
+    pairs = counted.groupBy("_k").agg((F.sum("_facts").cast("decimal(38,0)") * F.sum("_versions").cast("decimal(38,0)")).alias("n"))
+    later = running_before(counted.filter(F.col("_t").isNotNull()).withColumn("_back", -micros("_t")), ["_back"], {"_later": "_versions"}, within=["_k"])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return pairs.agg(total("n").alias("compared_rows")).join(later.agg(total(F.col("_facts") * F.col("_later")).alias("future_rows")))

@@ -75,20 +75,23 @@ def running_before(
     )
 
 
-def file_positions(lines: DataFrame, name: str = "row_id") -> DataFrame:
+def file_positions(lines: DataFrame, name: str = "row_id", keep_file: bool = False) -> DataFrame:
     """0-based position of each row in file order, for rows carrying ``_file`` and ``_block``.
 
+    With ``keep_file`` positions start anew in each file and ``_file`` stays.
+
     Rows of one file split are already in order, so nothing is sorted: each split needs only
     its start. The offsets table has one row per split.
     """
     stamped = durable(lines.withColumn("_at", F.monotonically_increasing_id()))
     splits = stamped.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
-    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_file") if keep_file else Window
+    order = within.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_start", F.coalesce(F.sum("_rows").over(order), F.lit(0))).drop("_rows")
     return (
         stamped.join(starts, ["_file", "_block"])
         .withColumn(name, F.col("_start") + F.col("_at") - F.col("_first"))
-        .drop("_file", "_block", "_at", "_first", "_start")
+        .drop("_block", "_at", "_first", "_start", *([] if keep_file else ["_file"]))
     )
 
 

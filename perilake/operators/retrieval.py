@@ -2,95 +2,111 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.text import is_object_uri, present
-from perilake.session import durable
+from perilake.session import reducers
 
-# Results per question; questions compared in one pass over the index.
+# Functions that run inside tasks travel with the task, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
+# Fixed value: results per question.
 TOP_K = 4
+# Index rows one task holds, and questions compared with them at a time.
+SHARD_ROWS = 16_384
 QUERY_BLOCK = 256
 
 
-def _partial_top_k(names: list[str], queries: np.ndarray, id_type: pa.DataType, k: int):
-    """Scan of an index partition that keeps the best k rows per question."""
-    norms = np.linalg.norm(queries, axis=1)
+def _best_of_shard(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, index row, score) of the k best rows per question, ties to the smaller id."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scores = (queries @ rows.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
+    scores = np.where(np.isfinite(scores), scores, -np.inf)
+    last = min(k, scores.shape[1]) - 1
+    least = -np.partition(-scores, last, axis=1)[:, last]
+    asked, found = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # more than k where scores tie
+    order = np.lexsort((ids[found], -scores[asked, found], asked))
+    asked, found = asked[order], found[order]
+    place = np.arange(len(asked)) - np.searchsorted(asked, asked, "left")
+    return asked[place < k], found[place < k], scores[asked, found][place < k]
+
+
+def _search_shards(k: int, arrow_id: pa.DataType):
+    """Streams (shard, index rows before questions) and answers the questions block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, rows, names, asked = None, [], [], [], []
+
+        def answer() -> pa.RecordBatch | None:
+            if not ids or not names:
+                names.clear()
+                asked.clear()
+                return None
+            q, i, score = _best_of_shard(np.stack(asked), np.stack(rows), np.array(ids), k)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([names[x] for x in q], pa.string()), pa.array([ids[x] for x in i], arrow_id), pa.array(score)],
+                names=["query_id", "id", "score"])
+            names.clear()
+            asked.clear()
+            return out
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, list]] = [(np.empty(0), []) for _ in names]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("embedding")
-            flat = np.asarray(column.flatten(), dtype=np.float64)
-            vectors = flat.reshape(batch.num_rows, queries.shape[1])
-            lengths = np.linalg.norm(vectors, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (queries @ vectors.T) / (norms[:, None] * lengths[None, :])
-            scores = np.where(np.isfinite(scores), scores, -np.inf)
-            ids = batch.column("id").to_pylist()
-            for q in range(len(names)):
-                kept, kept_ids = best[q]
-                merged = np.concatenate([kept, scores[q]])
-                merged_ids = kept_ids + ids
-                # Equal scores are settled by id, so the answer ignores partitioning.
-                cut = np.partition(-merged, min(k, len(merged)) - 1)[min(k, len(merged)) - 1]
-                near = [i for i in np.flatnonzero(-merged <= cut)]
-                near.sort(key=lambda i: (-merged[i], merged_ids[i]))
-                near = near[:k]
-                best[q] = (merged[near], [merged_ids[i] for i in near])
-        rows = [(names[q], i, s) for q, (ss, ii) in enumerate(best) for s, i in zip(ss, ii) if s > -np.inf]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], id_type), pa.array([float(r[2]) for r in rows])],
-                names=["query_id", "id", "score"],
-            )
-
-    return scan
+            vectors = batch.column("embedding")
+            flat, cuts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            keys = (batch.column(c).to_pylist() for c in ("shard", "id", "query_id"))
+            for n, (at, name, question) in enumerate(zip(*keys, strict=True)):
+                if at != shard:
+                    if (out := answer()) is not None:
+                        yield out
+                    shard, ids, rows = at, [], []
+                vector = flat[cuts[n] : cuts[n + 1]].astype(np.float64)
+                if question is None:
+                    ids.append(name)
+                    rows.append(vector)
+                else:
+                    names.append(question)
+                    asked.append(vector)
+                    if len(names) == QUERY_BLOCK and (out := answer()) is not None:
+                        yield out
+        if (out := answer()) is not None:
+            yield out
+
+    return run
 
 
 def nearest_chunks(
     index: DataFrame, queries: DataFrame, *, key: str, embedding: str = "embedding", query_key: str = "query_id",
-    k: int = TOP_K,
+    k: int = TOP_K, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """Top-k cosine matches per question: (query_id, key, score, rank), exact.
 
-    Questions are few next to the index. They are taken in blocks of QUERY_BLOCK; a block is
-    shipped with one scan of the index, and every index partition returns only its best k rows
-    per question. So no pair is materialised and the shuffle carries at most k rows per
-    question and partition. With several blocks each block's answers are made durable before
-    the next is read: more questions mean more scans, never a bigger driver or task.
+    The index is dealt to shards of about ``shard_rows`` rows by a hash of the key. Every question
+    visits every shard, on the executors: a task holds one shard and one block of questions, gives
+    the best k rows per question, and the k best of all shards are kept. No question passes through
+    the driver and no pair is materialised.
     """
+    spark = index.sparkSession
     id_type = index.schema[key].dataType
     arrow_id = pa.string() if id_type.simpleString() == "string" else pa.int64()
     id_name = "string" if arrow_id == pa.string() else "bigint"
-    side = index.filter(F.col(embedding).isNotNull()).select(
-        F.col(key).cast(id_name).alias("id"), F.col(embedding).cast("array<float>").alias("embedding")
+    side = index.filter(F.col(embedding).isNotNull()).select(F.col(key).cast(id_name).alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    shards = max(1, -(-side.count() // shard_rows))
+    stored = side.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.lit(None).cast("string").alias("query_id"), "embedding")
+    asked = queries.filter(F.col(embedding).isNotNull()).select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(None).cast(id_name).alias("id"),
+        F.col(query_key).cast("string").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding"),
     )
-    schema = f"query_id string, id {id_name}, score double"
-    wanted = queries.select(F.col(query_key).cast("string"), F.col(embedding).cast("array<double>"))
-
-    def answer(block: list) -> DataFrame:
-        matrix = np.asarray([vector for _, vector in block], dtype=np.float64)
-        partial = side.mapInArrow(_partial_top_k([name for name, _ in block], matrix, arrow_id, k), schema)
-        return top_k_per_query(partial, "query_id", "score", "id", k).withColumnRenamed("id", key)
-
-    done: list[DataFrame] = []
-    block: list = []
-    for row in wanted.toLocalIterator():
-        if len(block) == QUERY_BLOCK:
-            done.append(durable(answer(block)))
-            block = []
-        block.append((row[0], row[1]))
-    if block or not done:
-        done.append(answer(block) if block else index.sparkSession.createDataFrame([], f"query_id string, {key} {id_name}, score double, rank int"))
-    return reduce(DataFrame.unionByName, done)
+    # Index rows have no question, and NULL sorts first.
+    placed = stored.unionByName(asked).repartition(max(shards, reducers(spark)), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
+    partial = placed.mapInArrow(_search_shards(k, arrow_id), f"query_id string, id {id_name}, score double")
+    return top_k_per_query(partial, "query_id", "score", "id", k).withColumnRenamed("id", key)
 
 
 def top_k_per_query(scored: DataFrame, query: str, score: str, tie: str, k: int = TOP_K) -> DataFrame:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilake.functions.identity import content_hash
 from perilake.operators.contracts import TableContract
-from perilake.operators.features import dataset_version
 from perilake.operators.ordering import file_positions
 
 
@@ -49,7 +47,7 @@ def read_change_log(spark: SparkSession, root: str, tables: Mapping[str, TableCo
 def file_identities(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """(source_object, source_file_id, size) per landed file; identity is the content alone.
 
-    Each file is hashed whole by one task; :func:`snapshot_identity` takes care of large ones.
+    Each file is hashed whole by one task; :func:`snapshot_identity` splits large ones.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True)
     return reader.load(path).select(
@@ -57,26 +55,32 @@ def file_identities(spark: SparkSession, path: str, suffix: str = "*") -> DataFr
     )
 
 
-# Files up to this size are hashed as bytes by one task; larger ones by their lines.
-WHOLE_FILE_LIMIT = 256 * 1024 * 1024
-
-
 def snapshot_identity(spark: SparkSession, path: str) -> str:
-    """Content identity of a landed snapshot (a file or a folder of part files).
+    """Content identity of a landed snapshot (a file or a folder of part files), at any size.
 
-    Small files: the hash of the bytes, or of the sorted part hashes. When a file is too large
-    for one task, the order-free hash of its lines, computed by all tasks.
+    Each file is read in splits by all tasks. A line counts with its place in its file and its raw
+    bytes; the SHA-256 of each (place, line) and of each file's length are added up in four 64-bit
+    lanes, first per file and then, over the hashes of those sums, per snapshot. So reordered, padded
+    or trimmed lines change it, and neither the split size nor the names of part files do.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    largest = files.agg(F.max("length")).first()[0]
-    if largest is None:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").cast("string").alias("length"))
+    if found.isEmpty():
         raise FileNotFoundError(path)
-    if largest > WHOLE_FILE_LIMIT:
-        return dataset_version(spark.read.text(path), ["value"], "lines").first().dataset_version
-    parts = file_identities(spark, path).agg(F.sort_array(F.collect_list("source_file_id")).alias("ids")).first().ids
-    if len(parts) == 1:
-        return parts[0]
-    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+    # The separator is fixed, so a carriage return stays part of its line.
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    hashed = _placed(lines.withColumn("line", F.sha2(F.col("value").cast("binary"), 256)), ["line"])
+    positioned = file_positions(hashed, "place", keep_file=True)
+    of_line = positioned.select(F.col("_file").alias("path"), F.sha2(F.concat_ws(":", "place", "line"), 256).alias("hash"))
+    of_size = found.select("path", F.sha2(F.concat_ws(":", F.lit("length"), "length"), 256).alias("hash"))
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/+", "file:/")
+    per_file = of_line.unionByName(of_size).groupBy(plain.alias("path")).agg(_hash_sum("hash").alias("hash"))
+    return per_file.agg(_hash_sum("hash").alias("hash")).first().hash
+
+
+def _hash_sum(column: str) -> Column:
+    """Order-free sum of hexadecimal SHA-256 values, kept as one more SHA-256 (64 digits)."""
+    lanes = [F.conv(F.substring(column, 1 + 16 * lane, 16), 16, 10).cast("decimal(20,0)") for lane in range(4)]
+    return F.sha2(F.concat_ws(":", *[F.sum(lane).cast("string") for lane in lanes]), 256)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

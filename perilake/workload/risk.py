@@ -298,7 +298,7 @@ FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id
 def customer_claim_features(t: Tables) -> DataFrame:
     """Payment failures and activity of the last 90 days, and tenure, before each event."""
     rows = t.events.select("event_id", "user_id", "ts", F.lit(1).alias("one"), (F.col("event_type") == "error").cast("int").alias("failed"))
-    prior = history.prior_features(rows, key="user_id", time="ts", measures={"failed": "failed", "events": "one"}, days=[90], bucket_days=5)
+    prior = history.prior_features(rows, key="user_id", time="ts", measures={"failed": "failed", "events": "one"}, days=[90])
     since = t.events.groupBy("user_id").agg(F.min("ts").alias("since"))
     return prior.join(since, "user_id").select("event_id", "failed_90d", "events_90d", history.tenure_days("ts", "since").cast("long").alias("tenure_days"))
 
@@ -319,7 +319,7 @@ def asof_reference(t: Tables) -> DataFrame:
     views = t.events.filter(F.col("event_type") == "view").select("user_id", "ts", "event_id", F.expr("ts + INTERVAL 5 DAYS").alias("ends"))
     bought = t.events.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     return joins.asof_join(bought, views, key="user_id", time="ts", version_time="ts", take={"version_id": "event_id"}, tie="event_id",
-                           effective_to="ends", bucket_days=3).select("event_id", "user_id", "version_id")
+                           effective_to="ends").select("event_id", "user_id", "version_id")
 
 
 @query(sql="""SELECT count(*) AS compared_rows, count(*) FILTER (o_orderdate > l_shipdate) AS future_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")

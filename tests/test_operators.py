@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from perilake.functions.identity import row_hash
@@ -226,19 +227,49 @@ def test_auc_matches_pairwise_counting_with_ties_and_groups(spark):
 # --- history ------------------------------------------------------------------------------
 
 
-def test_prior_sums_equal_the_plain_window_on_a_hot_key(spark):
+def test_prior_features_equal_the_plain_window_on_a_hot_key(spark):
     frame = spark.createDataFrame(skewed_rows(), "id int, k int, t timestamp_ntz, v int").withColumn("one", F.lit(1))
-    ask = dict(key="k", time="t", measures={"n": "one", "v": "v"}, days=[1, 10])
-    columns = ["id", "n_1d", "n_10d", "v_1d", "v_10d"]
-    spread = history.prior_sums(frame, bucket_days=3, **ask).select(columns)
-    plain = history.prior_window(frame, **ask).select(columns)
-    assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
-    keyless = frame.unionByName(frame.limit(3).withColumn("k", F.lit(None).cast("int")))
-    for hot_rows in (500, 10**6):  # with and without a hot key
-        mixed = history.prior_features(keyless, bucket_days=3, hot_rows=hot_rows, **ask)
-        assert mixed.filter("k IS NULL").agg(F.count("*"), F.sum("n_10d")).first()[:] == (3, 0)
-        got = mixed.filter("k IS NOT NULL").select(columns)
-        assert got.exceptAll(plain).count() == 0 and got.count() == plain.count()
+    at = F.unix_micros(F.col("t").cast("timestamp"))
+    span = lambda n: Window.partitionBy("k").orderBy(at).rangeBetween(-n * 86_400_000_000, -1)
+    plain = frame.select("id", *[F.coalesce(F.sum(c).over(span(n)), F.lit(0)).alias(f"{m}_{n}d") for m, c in (("n", "one"), ("v", "v")) for n in (1, 10)])
+    keyless = frame.unionByName(frame.limit(3).withColumns({"k": F.lit(None).cast("int"), "id": F.lit(-1)}))
+    got = history.prior_features(keyless, key="k", time="t", measures={"n": "one", "v": "v"}, days=[1, 10])
+    assert got.columns == [*frame.columns, "n_1d", "n_10d", "v_1d", "v_10d"]
+    assert got.filter("k IS NULL").agg(F.count("*"), F.sum("n_10d")).first()[:] == (3, 0)
+    known = got.filter("k IS NOT NULL").select(plain.columns)
+    assert known.exceptAll(plain).count() == 0 and known.count() == plain.count()
+
+
+def test_prior_features_keep_digits_and_types(spark):
+    day = lambda d: datetime(2026, 1, 1) + timedelta(days=d)
+    rows = [(1, "a", day(0), 1e16), (2, "a", day(20), 0.1), (3, "a", day(45), 0.2), (4, "a", day(60), 0.3), (5, "a", day(60), 5.0), (6, "b", day(1), 7.0),
+            (7, "a", day(70), 1.0), (8, "a", None, 12.0), (9, "a", None, 12.0), (10, None, day(3), 4.0), (1, "a", day(0), 1e16)]
+    frame = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz, v double").withColumn("money", F.col("id").cast("decimal(18,2)"))
+    got = history.prior_features(frame, key="k", time="t", measures={"v": "v", "m": "money"}, days=[30])
+    found = sorted((r.id, r.v_30d, float(r.m_30d)) for r in got.collect())
+    want = []
+    for i, k, t, _ in rows:
+        near = [(v, j) for j, q, u, v in rows if None not in (k, t, u) and q == k and t - timedelta(days=30) <= u < t]
+        want.append((i, sum(v for v, _ in near), float(sum(j for _, j in near))))
+    assert found == sorted(want)
+    assert got.schema["m_30d"].dataType.simpleString() == "decimal(28,2)" and got.schema["v_30d"].dataType.simpleString() == "double"
+
+
+def test_a_dense_key_is_cut_by_row_count(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"),
+                                      (F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("t"), "id")
+    sizes = [r.n for r in ordering.range_ordered(rows, ["k", "t", "id"], 8).groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 40_000 / 8
+
+
+def test_future_references_are_counted_without_pairs(spark):
+    rng = random.Random(3)
+    facts = [("hot", rng.randrange(900)) for _ in range(1000)] + [("one", 5), (None, 3), ("hot", None), ("lonely", 1)]
+    versions = [("hot", rng.randrange(900)) for _ in range(1000)] + [("one", 9), ("one", 5), (None, 3), ("hot", None)]
+    stamp = lambda rows: spark.createDataFrame([(k, None if t is None else datetime(2026, 1, 1) + timedelta(hours=t)) for k, t in rows], "k string, t timestamp_ntz")
+    got = joins.future_reference_count(stamp(facts), stamp(versions), key="k", time="t", version_time="t").first()
+    pairs = [(t, u) for k, t in facts for q, u in versions if k is not None and k == q]
+    assert got[:] == (len(pairs), sum(None not in p and p[1] > p[0] for p in pairs))
 
 
 def test_asof_join_matches_brute_force(spark):
@@ -247,7 +278,7 @@ def test_asof_join_matches_brute_force(spark):
     versions = list({v[0]: v for v in versions}.values())
     f = spark.createDataFrame(facts, "id int, k int, t timestamp_ntz, v int").withColumn("n", F.monotonically_increasing_id())
     v = spark.createDataFrame(versions, "id int, k int, t timestamp_ntz, v int").withColumnRenamed("v", "value")
-    got = joins.asof_join(f, v, key="k", time="t", version_time="t", take={"version": "id"}, tie="id", bucket_days=2).collect()
+    got = joins.asof_join(f, v, key="k", time="t", version_time="t", take={"version": "id"}, tie="id").collect()
     assert len(got) == len(facts)
     for r in got:
         known = [(w[2], w[0]) for w in versions if w[1] == r.k and w[2] <= r.t]
@@ -257,14 +288,14 @@ def test_asof_join_matches_brute_force(spark):
 def test_asof_respects_the_end_of_a_version(spark):
     f = spark.createDataFrame([("a", datetime(2026, 1, 5)), ("a", datetime(2026, 3, 5)), ("b", None)], "k string, t timestamp_ntz")
     v = spark.createDataFrame([("a", datetime(2026, 1, 1), datetime(2026, 2, 1), "v1")], "k string, s timestamp_ntz, e timestamp_ntz, name string")
-    got = joins.asof_join(f, v, key="k", time="t", version_time="s", take={"name": "name"}, effective_to="e", bucket_days=10)
+    got = joins.asof_join(f, v, key="k", time="t", version_time="s", take={"name": "name"}, effective_to="e")
     assert sorted((r.k, r.name) for r in got.collect() if r.name) == [("a", "v1")] and got.count() == 3
 
 
 def test_status_history_spans_buckets(spark):
     rows = skewed_rows(600)
     frame = spark.createDataFrame([(i, k, t, "ABC"[v % 3]) for i, k, t, v in rows], "id int, k int, t timestamp_ntz, status string")
-    got = history.status_history(frame, key="k", status="status", time="t", tie="id", bucket_days=2).collect()
+    got = history.status_history(frame, key="k", status="status", time="t", tie="id").collect()
     found = {(r.k, r.source_order): (r.previous_status, r.status, r.valid_to) for r in got}
     expected = {}
     for key in {r[1] for r in rows}:
@@ -280,7 +311,7 @@ def test_overlap_sees_any_earlier_version(spark):
     day = lambda d: datetime(2026, 1, d)
     rows = [("p", day(1), day(20)), ("p", day(3), day(4)), ("p", day(10), day(12)), ("p", day(20), None), ("p", day(25), day(26)), ("q", day(1), None)]
     frame = spark.createDataFrame(rows, "k string, s timestamp_ntz, e timestamp_ntz")
-    got = history.overlapping_validity(frame, key="k", start="s", end="e", bucket_days=2).collect()
+    got = history.overlapping_validity(frame, key="k", start="s", end="e").collect()
     assert sorted(r.s.day for r in got) == [3, 10, 25]
 
 
@@ -292,7 +323,7 @@ def test_spread_join_equals_plain_join(spark, how):
     facts = spark.createDataFrame(skewed_rows(900), "id int, k int, t timestamp_ntz, v int").repartition(6)
     other = spark.createDataFrame([(k, f"n{k}") for k in range(0, 15)] + [(0, "second")], "k int, name string")
     columns = ["id", "k", "name"]
-    spread = joins.spread_join(facts, other, "k", how, copies=4, share=0.1).select(columns)
+    spread = joins.spread_join(facts, other, "k", how, share=0.1, rows_per_task=100).select(columns)
     plain = facts.join(other, "k", how).select(columns)
     assert spread.exceptAll(plain).count() == 0 and spread.count() == plain.count()
 

@@ -231,4 +231,28 @@ def test_identity_is_the_content_not_the_name(spark, tmp_path):
     (tmp_path / "z.csv").write_text("a,b\n1,3\n")
     one, two, other = (snapshot_identity(spark, str(tmp_path / n)) for n in ("x.csv", "y.csv", "z.csv"))
     assert one == two != other and len(one) == 64
+
+
+def test_identity_sees_order_padding_and_ends_at_any_split_size(spark, tmp_path):
+    forms = {"plain": b"k,v\n1,x\n2,y\n", "moved": b"k,v\n2,y\n1,x\n", "padded": b"k,v\n2,y  \n1,x\n", "crlf": b"k,v\r\n1,x\r\n2,y\r\n",
+             "unended": b"k,v\n1,x\n2,y", "twice": b"k,v\n1,x\n1,x\n2,y\n", "blank": b"k,v\n1,x\n2,y\n\n"}
+    for name, content in forms.items():
+        (tmp_path / name).write_bytes(content)
+    found = {name: snapshot_identity(spark, str(tmp_path / name)) for name in forms}
+    assert len(set(found.values())) == len(forms)
+    large = tmp_path / "large"
+    large.write_text("".join(f"{i},{i * 7}\n" for i in range(20_000)))
+    whole = snapshot_identity(spark, str(large))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert snapshot_identity(spark, str(large)) == whole
+        assert {name: snapshot_identity(spark, str(tmp_path / name)) for name in ("plain", "moved")} == {name: found[name] for name in ("plain", "moved")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    for folder, names in (("a", ("p1", "p2")), ("b", ("q9", "q1"))):
+        (tmp_path / folder).mkdir()
+        for name, content in zip(names, (forms["plain"], forms["plain"])):
+            (tmp_path / folder / name).write_bytes(content)
+    assert snapshot_identity(spark, str(tmp_path / "a")) == snapshot_identity(spark, str(tmp_path / "b")) != found["plain"]
     assert datetime.now(timezone.utc)
