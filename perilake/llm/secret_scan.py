@@ -38,7 +38,7 @@ _ASSIGN = re.compile(ASSIGN)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (MIN_ACCESS - 4))
 _HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
-_CODE = np.full(256, -1, dtype=np.int64)
+_CODE = np.full(256, -1, dtype=np.int16)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SIZE = len(ALPHABET) + 1  # one more symbol for the start
 
@@ -58,10 +58,24 @@ def joined(spans) -> str:
 def transitions(run: str) -> np.ndarray:
     """Cells of the transitions into each code-like character; what follows any other starts anew."""
     codes = _CODE[np.frombuffer(run.encode(), dtype=np.uint8)]
-    before = np.concatenate(([SIZE - 1], np.where(codes[:-1] < 0, SIZE - 1, codes[:-1])))
+    before = np.full(len(codes), SIZE - 1, dtype=np.int16)
+    before[1:] = np.where(codes[:-1] < 0, SIZE - 1, codes[:-1])
     return (before * SIZE + codes)[codes >= 0]
 
 
+def pieces(parts: list[str], size: int = 1 << 20) -> Iterator[str]:
+    """The parts joined by line feeds, about ``size`` characters at a time; only a longer part makes more."""
+    some, length = [], 0
+    for part in parts:
+        some.append(part)
+        length += len(part)
+        if length >= size:
+            yield "\n".join(some)
+            some, length = [], 0
+    if some:
+        yield "\n".join(some)
+
+
 def without(text: str, spans) -> str:
     """The text with its spans blanked out."""
     if not spans:
@@ -93,7 +107,8 @@ def count_transitions(documents: DataFrame, text: str) -> np.ndarray:
                 secret += [_ASSIGN.match(value[a:b])[2] if kind == 0 else value[a:b] for a, b, kind in spans]
                 words.append(without(value or "", spans))
             for side, parts in enumerate((secret, words)):
-                total[side] += np.bincount(transitions("\n".join(parts)), minlength=SIZE * SIZE)
+                for piece in pieces(parts):
+                    total[side] += np.bincount(transitions(piece), minlength=SIZE * SIZE)
         at = np.nonzero(total.reshape(-1))[0]
         yield pa.RecordBatch.from_arrays([int64(at), int64(total.reshape(-1)[at])], names=["cell", "n"])
 
