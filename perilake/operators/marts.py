@@ -87,7 +87,7 @@ def bi_daily_summary(summary: DataFrame) -> DataFrame:
 
 
 def broker_ranking(brokers: DataFrame) -> DataFrame:
-    return brokers.select(*BI_BROKER_COLUMNS).orderBy(F.col("total_annual_premium").desc())
+    return brokers.select(*BI_BROKER_COLUMNS).orderBy(F.col("total_annual_premium").desc(), "broker_id", *BI_BROKER_COLUMNS[1:5])
 
 
 def volume_by(enriched: DataFrame, groups: Mapping[str, str | Column], amount: str = "claim_amount") -> DataFrame:
@@ -95,7 +95,7 @@ def volume_by(enriched: DataFrame, groups: Mapping[str, str | Column], amount: s
     return (
         enriched.groupBy(*[col(c).alias(name) for name, c in groups.items()])
         .agg(F.count(F.lit(1)).alias("claim_count"), F.sum(amount).alias("total_claim_amount"))
-        .orderBy(F.col("total_claim_amount").desc())
+        .orderBy(F.col("total_claim_amount").desc(), *groups)
     )
 
 
@@ -118,7 +118,7 @@ def product_category_kpis(policies: DataFrame, category: str = "product_category
     return (
         grouped.withColumn("loss_ratio", F.col("approved") / F.nullif(F.col("written_premium"), F.lit(0)))
         .drop("approved")
-        .orderBy(F.col("written_premium").desc())
+        .orderBy(F.col("written_premium").desc(), category)
     )
 
 

@@ -90,9 +90,9 @@ def manifest_valid() -> Column:
     return present("claim_id") & F.col("as_of_date").isNotNull() & present("dataset_version")
 
 
-def prediction_validation(frame: DataFrame, key: str, probability: str) -> DataFrame:
-    """Row, distinct key and invalid probability counts in one pass."""
-    return frame.agg(
+def prediction_validation(frame: DataFrame, key: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
+    """Row, distinct key and invalid probability counts in one pass, over all rows or per group."""
+    return frame.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct(key).alias("unique_claims"),
         F.count_if(~is_probability(probability)).alias("invalid_probabilities"),
     )

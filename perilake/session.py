@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -63,11 +64,36 @@ def durable(frame: DataFrame) -> DataFrame:
     planner knows its size.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's durable tables; it goes with :func:`release` or when Python ends."""
+    context = spark.sparkContext
+    folder = f"{checkpoint_folder(spark)}/run-{context.applicationId}"
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(release, spark)
+    return folder
+
+
+_OWNED: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the durable tables of this application. Frames that read them are of no use afterwards."""
+    context = spark.sparkContext
+    if context._jsc is None:  # already stopped; the folder is named after the application, for its owner to clear
+        return
+    for folder in list(_OWNED):
+        if folder.endswith(context.applicationId):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _OWNED.discard(folder)
+
+
 def reducers(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

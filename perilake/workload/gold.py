@@ -245,11 +245,11 @@ def unique_business_keys(t: Tables) -> DataFrame:
 
 
 @query(sql=f"""WITH {ENRICHED} SELECT count(*) AS row_count, count(DISTINCT claim_id) AS unique_keys, count(*) FILTER (claim_amount < 0) AS negative_amounts,
-  count(*) FILTER (policy_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) AS deleted_visible FROM enriched WHERE claim_category <> 'R'""")
+  count(*) FILTER (policy_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) AS deleted_visible FROM enriched""")
 def post_publish_checks(t: Tables) -> DataFrame:
     from perilake.operators.audit import post_publish_checks as checks
 
-    gold = enriched_claims(t).filter(F.col("claim_category") != "R")
+    gold = enriched_claims(t)
     deleted = joins.semi_by_manifest(claim_lines(t), t.orders.filter(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("policy_id")), ["policy_id"])
     return checks(gold, "claim_id", "claim_amount", deleted.select("claim_id").distinct())
 

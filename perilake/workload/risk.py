@@ -251,10 +251,12 @@ def readback_complete(t: Tables) -> DataFrame:
     return joins.key_set_difference(_wanted(t), visible, keys).drop("complete")
 
 
-@query(sql="""SELECT doc_id, quality, CASE WHEN n_chars IS NULL OR n_chars >= 20000 THEN 'missing' WHEN (n_chars > 500)::INT = quality THEN 'ok' ELSE 'label_mismatch' END AS match, lang
-FROM labels LEFT JOIN (SELECT * FROM documents WHERE n_chars < 20000) USING (doc_id)""")
+@query(sql="""SELECT doc_id, quality, CASE WHEN n_chars IS NULL THEN 'missing' WHEN (n_chars > 500)::INT = quality THEN 'ok' ELSE 'label_mismatch' END AS match, lang
+FROM labels LEFT JOIN (SELECT * REPLACE (CASE WHEN n_chars >= 20000 THEN -1 - doc_id ELSE doc_id END AS doc_id) FROM documents) USING (doc_id)""")
 def match_manifest(t: Tables) -> DataFrame:
-    stored = t.documents.filter(F.col("n_chars") < 20000).select("doc_id", "lang", (F.col("n_chars") > 500).cast("int").alias("quality"))
+    """Records of every document; those of very long ones are stored under another key, so the manifest misses them."""
+    moved = F.when(F.col("n_chars") >= 20000, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id")
+    stored = t.documents.select(moved, "lang", (F.col("n_chars") > 500).cast("int").alias("quality"))
     return joins.match_manifest(stored, t.labels.select("doc_id", "quality"), ["doc_id"], "quality")
 
 
@@ -360,11 +362,8 @@ def publish_risk(t: Tables) -> DataFrame:
 @query(sql="""SELECT event_type, count(*) AS row_count, count(DISTINCT user_id) AS unique_claims, count(*) FILTER (value > 100) AS invalid_probabilities FROM events GROUP BY 1""")
 def prediction_validation(t: Tables) -> DataFrame:
     """Per batch of predictions (an event type): rows, distinct keys and values outside [0, 1]."""
-    from perilake.functions.money import is_probability
-
     rows = t.events.select("event_type", "user_id", (F.col("value") / 100).alias("p"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("user_id").alias("unique_claims"),
-                                          F.count_if(~is_probability("p")).alias("invalid_probabilities"))
+    return scoring.prediction_validation(rows, "user_id", "p", by=["event_type"])
 
 
 @query(sql="""SELECT count(*) AS row_count, count(DISTINCT doc_id) AS unique_claims, count(*) FILTER (n_chars > 16384) AS invalid_probabilities FROM documents""")

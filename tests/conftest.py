@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from perilake.session import build_session  # noqa: E402
+from perilake.session import build_session, release  # noqa: E402
 from perilake.sources.tables import Lakehouse  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
