@@ -4,9 +4,9 @@
    over all tasks) ranks hash cells from rare to common; an n-gram's key is (rank of its cell, rest
    of its hash), a one-to-one recoding whose order is the global order of all sets.
 2. Classes. Documents with equal sets are one class; copies are never paired.
-3. Clusters. Two linked sets share one of their rarest keys (prefix filter: of n keys, the first
-   n - ceil(t n) + 1). Classes are chained along each such key in order of their sizes, cut where
-   sizes are too far apart to link. Components of the chains are clusters: no link leaves a cluster.
+3. Clusters. Two linked sets share at least l of their rarest keys (prefix filter: of n keys, the
+   first n - ceil(t n) + l, where l grows with n). Classes that share enough are chained along their
+   keys. Components of the chains are clusters: no link leaves a cluster.
 4. Prefix tree. A cluster's sets, most common key first, go into a tree of shared paths. A set
    traverses the tree before it is added: the overlap with a path is counted once for all sets
    below, and a subtree is pruned when even its remaining lengths cannot reach the threshold, or
@@ -41,9 +41,10 @@ CELL_BITS = 18  # of the count sketch
 CHUNK = 4096  # cells sent as one row
 REST = np.uint64((1 << (64 - CELL_BITS)) - 1)
 SHIFT = np.uint64(64 - CELL_BITS)
-BLOCK_KEYS = 32_768  # keys of the sets in a block of a cluster
+BLOCK_KEYS = 1 << 18  # keys of the sets in a block of a cluster
 BLOCK_SETS = 160  # sets in a block
 PIVOTS = 4
+BROADCAST_ROWS = 300_000  # of about 60 bytes
 
 
 class WordHashes(dict):
@@ -57,7 +58,7 @@ class WordHashes(dict):
 
 
 def ngram_hashes(text: str | None, n: int, words: WordHashes) -> np.ndarray:
-    """Distinct hashes of the n-grams of a text. ``bytes`` lower-cases exactly A-Z and splits at exactly space and 09-0D."""
+    """Hashes of the n-grams of a text, in order and with repeats. ``bytes`` lower-cases exactly A-Z and splits at exactly space and 09-0D."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.empty(0, dtype=np.uint64)
@@ -66,8 +67,9 @@ def ngram_hashes(text: str | None, n: int, words: WordHashes) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.full(len(found) - width + 1, width, dtype=np.uint64)
         for i in range(width):
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + each[i : len(found) - width + 1 + i])
-    return np.unique(total)
+            total *= np.uint64(0x9E3779B97F4A7C15)
+            total += each[i : len(found) - width + 1 + i]
+    return mix(total)
 
 
 def count_cells(documents: DataFrame, n: int) -> np.ndarray:
@@ -76,7 +78,7 @@ def count_cells(documents: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, words = np.zeros(1 << CELL_BITS, dtype=np.uint32), WordHashes()
         for batch in batches:
-            sets = [ngram_hashes(t, n, words) for t in column_values(batch, "__text")]
+            sets = [np.unique(ngram_hashes(t, n, words)) for t in column_values(batch, "__text")]
             cells += np.bincount((np.concatenate(sets) >> SHIFT).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
         parts = cells.reshape(-1, CHUNK)
         used = np.nonzero(parts.any(1))[0]
@@ -99,18 +101,55 @@ def count_cells(documents: DataFrame, n: int) -> np.ndarray:
 
 
 def ordered_keys(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of a set in the global order, rarest cell first."""
-    return np.sort((rank[(hashes >> SHIFT).astype(np.int64)] << SHIFT) | (hashes & REST))
+    """Distinct keys in the global order, rarest cell first."""
+    return np.unique((rank[(hashes >> SHIFT).astype(np.int64)] << SHIFT) | (hashes & REST))
+
+
+def least_shared(n: int) -> int:
+    """Keys that two linked sets must share in their prefixes: one, and one more for each hundred."""
+    return 1 + n // 100
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """Any linked set shares its first ``least_shared`` common keys within this many first keys."""
+    return min(n, n - (percent * n + 99) // 100 + least_shared(n))
 
 
 def digest(keys: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(keys.tobytes())
 
 
+def candidate_chains(postings: DataFrame, percent: int) -> DataFrame:
+    """(class, prior, shared): edges such that any two classes that may link are connected by them.
+
+    Linked classes share ``least_shared`` prefix keys, so long sets that meet in a key or two by
+    chance aren't candidates. A class with fewer shared keys in all is out. Two classes alone with a
+    key are an edge if these keys, and the keys either shares in larger companies, could be enough.
+    In larger companies the classes with enough such keys are chained in order of size; a chain is
+    cut where sizes are too far apart to link. No group gives more edges than rows.
+    """
+    company = Window.partitionBy("key")
+    smallest = F.floor(F.floor(F.col("size") * percent / 100) / 100) + 1  # least_shared of the smallest partner
+    met = durable(postings.withColumn("company", F.count(F.lit(1)).over(company)).filter("company > 1").select("class", "size", "key"))
+    live = met.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).filter(F.col("n") >= smallest).select("class")
+    left = durable(met.join(live, "class").withColumn("company", F.count(F.lit(1)).over(company)).filter("company > 1"))
+    crowded = left.filter("company > 2").groupBy("class").agg(F.count(F.lit(1)).alias("crowded"))
+
+    def linked(rows: DataFrame) -> DataFrame:
+        before = company.orderBy("size", "class")
+        seen = rows.withColumns({"prior": F.lag("class").over(before), "prior_size": F.lag("size").over(before)})
+        fits = seen.filter(F.col("prior_size") * 100 >= F.col("size") * percent)
+        return fits.groupBy("class", "prior").agg(F.count(F.lit(1)).alias("shared"), F.first("prior_size").alias("prior_size"))
+
+    alone = linked(left.filter("company = 2"))
+    of_class, of_prior = (crowded.select(F.col("class").alias(c), F.col("crowded").alias(f"{c}_crowded")) for c in ("class", "prior"))
+    known = alone.join(of_class, "class", "left").join(of_prior, "prior", "left")
+    others = F.least(F.coalesce("class_crowded", F.lit(0)), F.coalesce("prior_crowded", F.lit(0)))
+    direct = known.filter(F.col("shared") + others >= F.floor(F.col("prior_size") / 100) + 1)  # the prior is the smaller set
+    heavy = left.filter("company > 2").join(crowded, "class").filter(F.col("crowded") >= smallest)
+    return direct.select("class", "prior", "shared").unionByName(linked(heavy).select("class", "prior", "shared"))
+
+
 class _Node:
     __slots__ = ("keys", "children", "low", "high", "member", "mixed", "here")
 
@@ -177,7 +216,13 @@ class PrefixTree:
 
 
 def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the wanted classes: one document of each, found by its id and checked by its digest."""
+    """Texts of the wanted classes: one document of each, found by its id and checked by its digest.
+
+    While the counted list is short it goes to the texts; beyond, both sides are shuffled.
+    """
+    wanted = durable(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     return documents.join(wanted, same(F.col("__id"), F.col("least"))).select("cluster", "block", "class", "digest", "size", "visits", "group", "__text")
 
 
@@ -242,9 +287,7 @@ def ngram_links(
     classes = durable(grouped.withColumn("class", F.monotonically_increasing_id()))
 
     postings = classes.select("class", "size", F.explode("prefix").alias("key"))
-    before = Window.partitionBy("key").orderBy("size", "class")
-    chained = postings.withColumns({"prior": F.lag("class").over(before), "prior_size": F.lag("size").over(before)})
-    chains = durable(chained.filter(F.col("prior_size") * 100 >= F.col("size") * percent).groupBy("class", "prior").agg(F.count(F.lit(1)).alias("shared")))
+    chains = durable(candidate_chains(postings, percent))
     clusters = components(chains, "class", "prior")
     roots = clusters.select(F.col("root").alias("class"), F.col("root").alias("cluster")).distinct()
     active = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).unionByName(roots)
