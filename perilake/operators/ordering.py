@@ -110,7 +110,12 @@ def positional_join(left: DataFrame, right: DataFrame, name: str = "row_id") ->
 SPLITS = (("train", Fraction(6, 10)), ("validation", Fraction(8, 10)), ("test", Fraction(1)))
 
 
-def rank_keys(frame: DataFrame, time: str, key: str, ranks: Sequence[int]) -> dict[int, tuple]:
+def daily_counts(frame: DataFrame, time: str) -> DataFrame:
+    """Rows per calendar day (``d``, ``n``), combined map-side and written down: later steps don't count again."""
+    return durable(frame.groupBy(F.to_date(time).alias("d")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def rank_keys(frame: DataFrame, time: str, key: str, ranks: Sequence[int], daily: DataFrame | None = None) -> dict[int, tuple]:
     """The (time as text, key) pair at each 1-based rank of (time, key), NULL times last.
 
     ``time`` is a date or timestamp column.
@@ -123,7 +128,7 @@ def rank_keys(frame: DataFrame, time: str, key: str, ranks: Sequence[int]) -> di
     if not wanted:
         return {}
     day = F.to_date(time)
-    daily = frame.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    daily = daily_counts(frame, time) if daily is None else daily
     up_to = F.sum("n").over(Window.orderBy(F.col("d").asc_nulls_last()))
     spans = daily.select("d", (up_to - F.col("n")).alias("before"), up_to.alias("upto"))
     covers = F.lit(False)
@@ -149,9 +154,10 @@ def chronological_split(frame: DataFrame, time: str, key: str, name: str = "spli
     The wide rows are never sorted or moved: two boundary keys are found first, then every row
     is labelled by comparing with them, which is a map-only projection.
     """
-    n = frame.count()
+    daily = daily_counts(frame, time)
+    n = daily.agg(F.sum("n")).first()[0] or 0
     cuts = [(label, int(n * share)) for label, share in SPLITS[:-1]]
-    bounds = rank_keys(frame, time, key, [c for _, c in cuts])
+    bounds = rank_keys(frame, time, key, [c for _, c in cuts], daily)
     kinds = frame.schema
     label = None
     for split, cut in cuts:
