@@ -35,7 +35,7 @@ LABELLERS = {  # name: (good, bad); the measure grows with badness
     "stutter": (0.06, 0.12),  # words equal to the one before
     "monotony": (0.70, 0.90),  # share of words seen before in the text; longer texts abstain
     "repeated_lines": (0.30, 0.60),  # share of lines seen before in the text
-    "few_letters": (0.15, 0.45),  # share of characters that are no letters
+    "few_letters": (0.15, 0.25),  # share of characters that are no letters; short texts abstain
 }
 NAMES = tuple(LABELLERS)
 GOOD = np.array([g for g, _ in LABELLERS.values()])
@@ -68,7 +68,7 @@ def measures(data: bytes) -> np.ndarray | None:
         sum(map(eq, words, words[1:])) / n if n >= 10 else np.nan,
         1 - len(set(words)) / n if 20 <= n <= 5000 else np.nan,
         1 - len(set(lines)) / len(lines) if len(lines) >= 4 else np.nan,
-        1 - (upper + lower + seen[128:].sum()) / inner,
+        1 - (upper + lower + seen[128:].sum()) / inner if n >= 20 else np.nan,
     ])
 
 
@@ -82,11 +82,14 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return (codes[:, None] // 3 ** np.arange(len(NAMES))) % 3
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.005, seen: tuple[float, float] = (0.05, 0.75)) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation over vote combinations.
 
     Returns the posterior of being bad of each combination, the vote probabilities
-    (class, labeller, vote) and the share of bad documents. It starts from "any bad vote".
+    (class, labeller, vote) and the share of bad documents. It starts from "any bad vote". A bad vote
+    on a good document is held to be no likelier than ``false_alarms``, and its likelihood on a bad one
+    stays within ``seen``, else a kind of badness that few labellers see could pass as a habit of good
+    documents.
     """
     votes = votes_of(codes)
     bad = np.where((votes == 2).any(1), 0.9, 0.05)
@@ -98,6 +101,12 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[
             mass = np.tensordot(weight * counts, one_hot, 1) + 0.1
             mass[:, 0] = 0
             tables[side] = mass / mass.sum(1, keepdims=True)
+            if side == 0:
+                tables[0, :, 2] = np.minimum(tables[0, :, 2], false_alarms)
+                tables[0, :, 1] = 1 - tables[0, :, 2]
+            else:
+                tables[1, :, 2] = np.clip(tables[1, :, 2], *seen)
+                tables[1, :, 1] = 1 - tables[1, :, 2]
             tables[side, :, 0] = 1
         share = (bad @ counts + 1) / (counts.sum() + 2)
         log = np.log(tables)[:, np.arange(len(NAMES)), votes].sum(2)

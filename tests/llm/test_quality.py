@@ -21,7 +21,7 @@ def test_estimate_finds_the_accuracies():
     votes[rng.random(votes.shape) < 0.3] = 0
     codes, counts = np.unique(votes @ (3 ** np.arange(len(NAMES))), return_counts=True)
     assert (votes_of(codes) @ (3 ** np.arange(len(NAMES))) == codes).all()
-    _, tables, share = estimate(codes, counts.astype(float))
+    _, tables, share = estimate(codes, counts.astype(float), false_alarms=0.1, seen=(0.01, 0.99))
     assert abs(share - 0.2) < 0.02 and np.abs(tables[1, :, 2] - rates).max() < 0.05 and tables[0, :, 2].max() < 0.05
 
 
