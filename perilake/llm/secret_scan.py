@@ -5,7 +5,9 @@ patterns: the values they find are random strings, and all other runs of code-li
 ordinary words and identifiers. Counting covers every text; what leaves a task is one pair of count matrices,
 whose size is fixed by the alphabet. A candidate (a long run of code-like characters that no pattern
 found) is a secret if the mean log-likelihood ratio per character exceeds ``threshold`` and its
-character kinds are mixed.
+character kinds are mixed. Scores depend on the table, so the threshold is set under its own models: random
+tokens of every kind in ``RANDOM`` and of the least length are scored, and at most ``MISSED`` of any kind
+fall below. Longer tokens score closer to their mean and are missed less often.
 
 Defined results: a missing text is empty; every row gives one row, also with repeated or missing
 ids; an empty table gives an empty result. Positions are code points, end exclusive. Texts are
@@ -31,6 +33,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+RANDOM = ("base64", ALPHABET[:64]), ("alphanumeric", ALPHABET[:62]), ("letters", ALPHABET[:52]), ("lower and digits", ALPHABET[26:62]), ("upper and digits", ALPHABET[:26] + ALPHABET[52:62]), ("hex", "0123456789abcdef")
+MISSED, SAMPLES = 0.01, 4000
 # ----------------------------------------------------------------------------------------
 
 _ASSIGN = re.compile(ASSIGN)
@@ -133,16 +137,37 @@ def log_ratio(counts: np.ndarray, prior: float = 1000.0) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
+def mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run) >= 2
+
+
+def score(run: str, ratio: np.ndarray) -> float:
+    return float(ratio.reshape(-1)[transitions(run)].mean())
+
+
 def looks_random(run: str, ratio: np.ndarray, threshold: float) -> bool:
-    kinds = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run)
-    return kinds >= 2 and float(ratio.reshape(-1)[transitions(run)].mean()) > threshold
+    return mixed(run) and score(run, ratio) > threshold
+
+
+def random_threshold(ratio: np.ndarray, length: int, missed: float = MISSED) -> float:
+    """Score that all but ``missed`` of the random mixed tokens of each kind exceed; never one at which the identifier model is likelier."""
+    rng = np.random.default_rng(0)
+    least = []
+    for _, alphabet in RANDOM:
+        tokens = ["".join(t) for t in rng.choice(list(alphabet), (SAMPLES, max(2, length)))]
+        least.append(np.quantile([score(t, ratio) for t in tokens if mixed(t)], missed))
+    return max(0.0, float(min(least)))
 
 
 def scan_secrets(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_run: int = 16, threshold: float = 3.0,
+    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_run: int = 16, threshold: float | None = None,
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``n_assign, n_access, n_hex, n_markov``, ``base_spans`` and ``spans``."""
+    """Per row: ``doc_id``, ``n_assign, n_access, n_hex, n_markov``, ``base_spans`` and ``spans``.
+
+    ``threshold`` is :func:`random_threshold` of the table unless given.
+    """
     ratio = log_ratio(count_transitions(documents, text))
+    threshold = random_threshold(ratio, min_run) if threshold is None else threshold
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 
-from perilake.llm.secret_scan import ACCESS, ASSIGN, HEX, KINDS, scan_secrets
+from conftest import SMALL
+from perilake.llm.secret_scan import ACCESS, ASSIGN, HEX, KINDS, RANDOM, mixed, scan_secrets
 
 TEXTS = [
     None, "", "password: hunter2hunter2", "PassWord='abc'", "secret==abcdefgh", "secret=token=abcdefghij", "api_key : \"A1b2C3d4E5\"",
@@ -43,3 +45,26 @@ def test_repeated_and_empty(spark):
     frame = spark.createDataFrame([(None, "token=abcdefgh1"), (3, None), (3, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.spans) for r in scan_secrets(frame).collect()) == [("3", ""), ("3", ""), ("None", "assign:0:15")]
     assert scan_secrets(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("secret", ["ghp_8fK2Lq9ZxYwV7uT3sR1pNmBcD4", "sk-4f9Kd82lQmZx71PvWw0"])
+def test_production_threshold_finds_random_strings(spark, secret):
+    prose = "the reader finds ordinary words like containerRuntimeOptions2 and some_long_identifier_name here. " * 400
+    frame = spark.createDataFrame([(1, prose), (2, f"{prose} {secret} {prose}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_secrets(frame).collect()}
+    assert (got[1].spans, got[2].spans) == ("", f"markov:{len(prose) + 1}:{len(prose) + 1 + len(secret)}")
+
+
+def test_production_threshold_by_kind(spark):
+    rng = random.Random(5)
+    real = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    n = 15
+    planted = {-k: [] for k in range(1, len(RANDOM) + 1)}
+    for k, (_, alphabet) in enumerate(RANDOM, 1):
+        while len(planted[-k]) < n:
+            token = "".join(rng.choices(alphabet, k=20))
+            planted[-k] += [token] * mixed(token)
+    frame = real.unionByName(spark.createDataFrame([(k, " and ".join(v)) for k, v in planted.items()], real.schema))
+    got = {r.doc_id: r for r in scan_secrets(frame).collect()}
+    assert all(got[k].n_markov >= 0.9 * n for k in planted), [(k, got[k].n_markov) for k in planted]
+    assert not any(r.n_markov for k, r in got.items() if k not in planted)
