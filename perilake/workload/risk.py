@@ -381,13 +381,18 @@ def manifest_validity(t: Tables) -> DataFrame:
 
 @query()
 def train_and_score(t: Tables) -> DataFrame:
-    """Boosted trees on the chronological splits of the claim features, scored on every claim."""
+    """Boosted trees on the chronological splits of the claim features, scored on every claim; with the rounds kept and the verdict of the gate."""
     rows = risk_rows(t).withColumn("row_key", F.concat_ws("|", "claim_id", F.col("submitted_at").cast("string"), F.col("claim_amount").cast("string"), "broker_id"))
     labelled = ordering.chronological_split(rows, "submitted_at", "row_key")
     vectors = durable(features.vectorize(labelled, keep=("row_key", "high_risk_claim", "split")))
     names = features.feature_names()
-    model = scoring.train_classifier(vectors, names, "high_risk_claim", rounds=5)
-    scored = scoring.score_batch(model, vectors, names)
+    model = scoring.train_classifier(vectors, names, "high_risk_claim")
+    scored = durable(scoring.score_batch(model, vectors, names).select("row_key", "high_risk_claim", "split", "probability"))
+    try:
+        scoring.quality_gate(metrics.evaluate_binary(scored.filter(F.col("split") == "test"), "high_risk_claim", "probability"))
+        passed = True
+    except (metrics.MetricError, scoring.PublishRefused):
+        passed = False
     return scored.groupBy("split").agg(
-        F.count(F.lit(1)).alias("row_count"), F.round(F.avg("probability"), 4).alias("average_probability"),
-        F.count_if(~F.col("probability").between(0, 1)).alias("invalid_probabilities"))
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("row_key").alias("unique_claims"), F.round(F.avg("probability"), 4).alias("average_probability"),
+        F.count_if(~F.col("probability").between(0, 1)).alias("invalid_probabilities"), F.lit(model.getNumTrees).alias("rounds"), F.lit(passed).alias("gate_passed"))

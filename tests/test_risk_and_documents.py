@@ -256,3 +256,18 @@ def test_identity_sees_order_padding_and_ends_at_any_split_size(spark, tmp_path)
             (tmp_path / folder / name).write_bytes(content)
     assert snapshot_identity(spark, str(tmp_path / "a")) == snapshot_identity(spark, str(tmp_path / "b")) != found["plain"]
     assert datetime.now(timezone.utc)
+
+
+def test_boosting_waits_for_the_best_round(spark):
+    assert scoring.best_round([5, 4, 4.1, 4.2, 3, 3.5], patience=3) == 5
+    assert scoring.best_round([5, 4, 4.1, 4.2, 4.3, 3], patience=3) == 2
+    assert scoring.best_round([3.0]) == 1
+    rows = [(float(i % 17), float(i * 7 % 13), int((i % 17) * (i * 7 % 13) > 50), "validation" if i % 5 == 0 else "train") for i in range(600)]
+    frame = spark.createDataFrame(rows, "x double, y double, label int, split string").coalesce(1)
+    model = scoring.train_classifier(frame, ["x", "y"], "label", rounds=20)
+    losses = model.evaluateEachIteration(scoring.assemble(frame.filter("split = 'validation'"), ["x", "y"]).withColumn("label", F.col("label").cast("double")))
+    assert model.getNumTrees == len(losses) == 20 and losses == sorted(losses, reverse=True)  # this loss falls each round
+    short = scoring.first_trees(model, 3)
+    assert short.getNumTrees == 3 and short.treeWeights == model.treeWeights[:3] and short.trees[2].toDebugString == model.trees[2].toDebugString
+    got = scoring.score_batch(short, frame, ["x", "y"]).agg(F.min("probability"), F.max("probability")).first()
+    assert 0 < got[0] < got[1] < 1
