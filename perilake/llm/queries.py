@@ -2,6 +2,7 @@
 
 from perilake.llm import (  # noqa: F401
     decontamination,
+    hard_negatives,
     line_dedup,
     license_scan,
     mixing,
