@@ -1,6 +1,7 @@
 """All registered queries of the subpackage and the SQL of those that SQL can express."""
 
 from perilake.llm import (  # noqa: F401
+    conversation_repair,
     decontamination,
     hard_negatives,
     line_dedup,
