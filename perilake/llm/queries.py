@@ -4,6 +4,7 @@ from perilake.llm import (  # noqa: F401
     conversation_repair,
     decontamination,
     hard_negatives,
+    html_extraction,
     line_dedup,
     license_scan,
     mixing,
