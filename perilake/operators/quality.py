@@ -96,16 +96,38 @@ def _passing(frame: DataFrame, rules: Sequence[DatasetRule]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def passing_by(frame: DataFrame, rules: Sequence[DatasetRule], part: str) -> DataFrame:
+    """``part``, position, rule, passing and total rows, one row per part and rule.
+
+    Parts can be added up where no key is in two of them, as with buckets of the key; a uniqueness
+    rule on another column needs :func:`evaluate` over the whole.
+    """
+    counted = []
+    for i, rule in enumerate(rules):
+        if isinstance(rule, IsUnique):
+            keys = frame.groupBy(part, F.col(rule.column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+            one = keys.groupBy(part).agg(F.sum(F.when(F.col("k").isNotNull() & (F.col("n") == 1), 1).otherwise(0)).alias("passing"), F.sum("n").alias("total"))
+        else:
+            one = frame.groupBy(part).agg(F.count_if(rule.holds()).alias("passing"), F.count(F.lit(1)).alias("total"))
+        counted.append(one.select(part, F.lit(i).alias("position"), F.lit(str(rule)).alias("rule"), "passing", "total"))
+    return reduce(DataFrame.unionByName, counted)
+
+
 def evaluate(frame: DataFrame, entity: str, rules: Sequence[DatasetRule]) -> DataFrame:
     """Judge a candidate dataset: one row per rule with metric, outcome and reason.
 
     An empty candidate (or an empty suite) is SKIPPED: nothing passed, nothing failed.
     """
+    return judge(_passing(frame, rules), entity)
+
+
+def judge(passing: DataFrame, entity: str) -> DataFrame:
+    """Metric, outcome and reason of each rule, from its passing and total rows."""
     metric = F.col("passing") / F.nullif(F.col("total"), F.lit(0))
     outcome = (
         F.when(F.col("total") == 0, "Skipped").when(F.col("passing") == F.col("total"), "Passed").otherwise("Failed")
     )
-    return _passing(frame, rules).select(
+    return passing.select(
         F.lit(entity).alias("entity"),
         "position",
         "rule",

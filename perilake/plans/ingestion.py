@@ -305,6 +305,11 @@ def _changes_silver(lake: Lakehouse, root: str, run_id: str, result: RunResult,
 
 
 def _changes_gold(lake: Lakehouse, root: str, run_id: str, result: RunResult, at: Column | None) -> dict[str, int]:
+    return changes_to_gold(lake, run_id, at)
+
+
+def changes_to_gold(lake: Lakehouse, run_id: str, at: Column | None = None) -> dict[str, int]:
+    """Fact and daily summary of the claims in Silver."""
     contract = CHANGE_TABLES["claims"]
     claims = lake.read_layer("silver", "claims")
     fact = lake.stage(drop_sensitive(claims, contract.sensitive, at), "gold", contract.gold_table, run_id)

@@ -44,6 +44,27 @@ def read_change_log(spark: SparkSession, root: str, tables: Mapping[str, TableCo
     return found
 
 
+def landed_files(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """``path, modified, length`` of the files in a table's folder (a listing, no content); nothing if it is absent."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{table}/")
+    except AnalysisException as error:
+        if _missing_path(error):
+            return None
+        raise
+    return found.select("path", F.col("modificationTime").alias("modified"), "length")
+
+
+def read_change_files(spark: SparkSession, paths: Sequence[str], key: str) -> DataFrame | None:
+    """Changes of the given files, every column text; nothing if they don't name the key.
+
+    Files of one delivery have one header; a file with another one fails the read instead of
+    having its columns taken for others.
+    """
+    raw = spark.read.options(header=True, inferSchema=False, enforceSchema=False).csv(list(paths))
+    return raw if key in raw.columns else None
+
+
 def file_identities(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
     """(source_object, source_file_id, size) per landed file; identity is the content alone.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,9 @@ from perilake.operators import audit, changes, contracts, dedup, joins, quality
 from perilake.operators.contracts import Rule, TableContract
 from perilake.operators.quality import AtLeast, IsComplete, IsUnique
 from perilake.plans.contracts import raw_claim_rules, read_raw_claims, typed_claim_rules
+from perilake.session import durable, run_folder
+from perilake.sources.state import StateTable
+from perilake.sources.tables import Lakehouse
 from perilake.workload.base import CLAIM_LINES, ENRICHED, USER_CHANGES, Tables, cents, claim_lines, day, enriched_claims, instant, query, user_changes
 
 def _line_rules() -> list[Rule]:
@@ -201,6 +205,18 @@ def cdc_apply_incremental(t: Tables) -> DataFrame:
     return _state(changes.live(changes.apply_changes(state, early, "user_id")))
 
 
+@query(sql=CURRENT_SQL)
+def cdc_two_deliveries(t: Tables) -> DataFrame:
+    """The log in two deliveries, the second with a part of the first again, folded into a bucketed state."""
+    log = user_changes(t)
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    lake = Lakehouse(t.spark, f"{run_folder(t.spark)}/deliveries-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex[:12]}_")
+    state = StateTable(lake, "users", "user_id", buckets=16)
+    for run, part in (("d1", log.filter(half == 0)), ("d2", log.filter((half == 1) | (F.col("event_type") == "error")))):
+        state.commit(state.fold(durable(part), run))
+    return _state(changes.live(state.rows()))
+
+
 @query(sql="""SELECT event_type, CASE WHEN event_type = 'view' THEN 'unsupported operation' ELSE 'value must be at least 10' END AS failed_rules, count(*) AS change_count
 FROM events WHERE event_type = 'view' OR (event_type <> 'error' AND value < 10) GROUP BY 1, 2""")
 def cdc_quarantine(t: Tables) -> DataFrame:
