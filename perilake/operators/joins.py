@@ -45,6 +45,18 @@ def star_join(fact: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
     return joined
 
 
+def heavy_keys(frame: DataFrame, key: str, share: float = 0.01, tracked: int = 10_000) -> list:
+    """Values of a key that hold at least ``share`` of the rows, at most 1/share of them, most first.
+
+    A mergeable sketch of frequent items over one column: no shuffle of keys. Its counts are low by
+    at most a small multiple of rows/``tracked``, so a value near ``share`` may be missing. Use
+    it to choose how rows are dealt, never which rows count.
+    """
+    most = int(1 / share)
+    one = frame.agg(F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"), F.count(key).alias("n")).first()
+    return [r.item for r in one.top or () if r.item is not None and r["count"] >= share * one.n]
+
+
 def hot_keys(frame: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys holding at least ``share`` of the rows, and how many: never more than 1/share of them."""
     sized = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))

@@ -103,22 +103,25 @@ CLAIM_LINES = """claim_lines AS (
 claims AS (SELECT * EXCLUDE (approved_raw), CAST(approved_raw AS DECIMAL(18,2)) AS approved_amount FROM claim_lines)"""
 
 
+def claim_dimensions(t: Tables) -> list[Dimension]:
+    """Policy, customer, product, broker, branch and region of a claim."""
+    return [
+        Dimension(t.orders, "o_orderkey", "policy_id", how="inner", columns={
+            "customer_id": "o_custkey", "claim_status": "o_orderstatus", "overall_risk_band": "o_orderpriority",
+            "incident_date": F.to_date("o_orderdate"), "annual_premium_amount": F.col("o_totalprice").cast(MONEY)}),
+        Dimension(t.customer, "c_custkey", "customer_id", how="inner", columns={"coverage_tier": "c_mktsegment"}),
+        Dimension(t.part, "p_partkey", "product_id", columns={
+            "product_type": "p_type", "product_category": "p_brand", "product_name": "p_name", "product_size": "p_size"}),
+        Dimension(t.supplier, "s_suppkey", "broker_id", columns={"broker_name": "s_name", "branch_id": "s_nationkey", "broker_balance": "s_acctbal"}),
+        Dimension(t.nation, "n_nationkey", "branch_id", columns={"branch_name": "n_name", "region_key": "n_regionkey"}),
+        Dimension(t.region, "r_regionkey", "region_key", columns={"broker_region_code": "r_name"}),
+    ]
+
+
 def enriched_claims(t: Tables) -> DataFrame:
-    """Claim with policy, customer, product, broker, branch and region attributes."""
-    return star_join(
-        claim_lines(t),
-        [
-            Dimension(t.orders, "o_orderkey", "policy_id", how="inner", columns={
-                "customer_id": "o_custkey", "claim_status": "o_orderstatus", "overall_risk_band": "o_orderpriority",
-                "incident_date": F.to_date("o_orderdate"), "annual_premium_amount": F.col("o_totalprice").cast(MONEY)}),
-            Dimension(t.customer, "c_custkey", "customer_id", how="inner", columns={"coverage_tier": "c_mktsegment"}),
-            Dimension(t.part, "p_partkey", "product_id", columns={
-                "product_type": "p_type", "product_category": "p_brand", "product_name": "p_name", "product_size": "p_size"}),
-            Dimension(t.supplier, "s_suppkey", "broker_id", columns={"broker_name": "s_name", "branch_id": "s_nationkey", "broker_balance": "s_acctbal"}),
-            Dimension(t.nation, "n_nationkey", "branch_id", columns={"branch_name": "n_name", "region_key": "n_regionkey"}),
-            Dimension(t.region, "r_regionkey", "region_key", columns={"broker_region_code": "r_name"}),
-        ],
-    ).withColumn("vehicle_risk_category", F.when(F.col("currency_code") == "F", F.col("product_type")))
+    """Claims with the attributes of all their dimensions."""
+    joined = star_join(claim_lines(t), claim_dimensions(t))
+    return joined.withColumn("vehicle_risk_category", F.when(F.col("currency_code") == "F", F.col("product_type")))
 
 
 ENRICHED = CLAIM_LINES + """,

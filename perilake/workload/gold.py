@@ -10,7 +10,7 @@ from perilake.operators.contracts import Rule
 from perilake.operators.dedup import latest_per_key
 from perilake.operators.quality import IsUnique
 from perilake.workload.base import (
-    BROKER_KEYS, CLAIM_LINES, ENRICHED, POLICIES, POLICY_KEYS, Tables, as_double, cents, claim_lines, day, enriched_claims,
+    BROKER_KEYS, CLAIM_LINES, ENRICHED, POLICIES, POLICY_KEYS, Tables, as_double, cents, claim_dimensions, claim_lines, day, enriched_claims,
     instant, query,
 )
 
@@ -43,7 +43,7 @@ def spread_claims_to_policies(t: Tables) -> DataFrame:
 
 
 def _policies(t: Tables) -> DataFrame:
-    return marts.policy_performance(enriched_claims(t), POLICY_KEYS)
+    return marts.policy_performance(claim_lines(t), POLICY_KEYS, dimensions=claim_dimensions(t))
 
 
 def _brokers(t: Tables) -> DataFrame:
