@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.text import col
-from perilake.session import durable, reducers
+from perilake.session import durable
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low bits
 
 
-def range_ordered(frame: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
+RANGE_ROWS = 65_536  # a range of narrow rows: a few megabytes, and a task's memory where a range is held whole
+MOST_RANGES = 40_000  # one row a range may be collected or broadcast: some megabytes
+
+
+def range_count(frame: DataFrame, rows_per_range: int = RANGE_ROWS) -> int:
+    """Number of ranges for a frame of this size. Beyond ``MOST_RANGES`` ranges grow instead."""
+    return max(1, min(MOST_RANGES, -(-frame.count() // rows_per_range)))
+
+
+def range_ordered(frame: DataFrame, order: Sequence[str | Column], partitions: int | None = None, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """Globally sorted rows with ``_part`` (range number) and ``_local`` (0-based place in it).
 
+    The number of ranges follows the number of rows, and Spark's sample of the keys sets their bounds.
     The sorted rows are materialised once. Range bounds come from sampling, so evaluating the
     sort twice could cut the ranges elsewhere; everything downstream must see one cut.
     """
-    n = partitions or reducers(frame.sparkSession)
+    n = partitions or range_count(frame, rows_per_range)
     keys = [col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
     ordered = frame.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     stamped = durable(ordered.withColumn("_at", F.monotonically_increasing_id()))
@@ -30,6 +43,32 @@ def range_ordered(frame: DataFrame, order: Sequence[str | Column], partitions: i
     }).drop("_at")
 
 
+def range_mapped(
+    frame: DataFrame, order: Sequence[str | Column], work: Callable[[pa.Table, int], pa.Table], schema: str, rows_per_range: int = RANGE_ROWS,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
+    """``work(rows of a range in order, range number)`` over all ranges, materialised once.
+
+    One shuffle and one write: the ranges are worked on where they are sorted. A task holds one range.
+    ``sized_by`` may be a frame of at least as many rows that is cheaper to count.
+    """
+    keys = [col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks(), TaskContext.get().partitionId()).to_batches()
+
+    sorted_ = frame.repartitionByRange(range_count(frame if sized_by is None else sized_by, rows_per_range), *keys).sortWithinPartitions(*keys)
+    return durable(sorted_.mapInArrow(run, schema))
+
+
+def codes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Whole numbers that are equal where values are; a missing value equals a missing value."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
 def _offsets(sizes: DataFrame, total: str, start: str, part: str = "_part", within: Sequence[str] = ()) -> DataFrame:
     """Exclusive running total over ranges; the input has one row per range (and group)."""
     before = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

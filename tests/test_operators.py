@@ -227,25 +227,27 @@ def test_auc_matches_pairwise_counting_with_ties_and_groups(spark):
 # --- history ------------------------------------------------------------------------------
 
 
-def test_prior_features_equal_the_plain_window_on_a_hot_key(spark):
+@pytest.mark.parametrize("rows_per_range", [65_536, 40])
+def test_prior_features_equal_the_plain_window_on_a_hot_key(spark, rows_per_range):
     frame = spark.createDataFrame(skewed_rows(), "id int, k int, t timestamp_ntz, v int").withColumn("one", F.lit(1))
     at = F.unix_micros(F.col("t").cast("timestamp"))
     span = lambda n: Window.partitionBy("k").orderBy(at).rangeBetween(-n * 86_400_000_000, -1)
     plain = frame.select("id", *[F.coalesce(F.sum(c).over(span(n)), F.lit(0)).alias(f"{m}_{n}d") for m, c in (("n", "one"), ("v", "v")) for n in (1, 10)])
     keyless = frame.unionByName(frame.limit(3).withColumns({"k": F.lit(None).cast("int"), "id": F.lit(-1)}))
-    got = history.prior_features(keyless, key="k", time="t", measures={"n": "one", "v": "v"}, days=[1, 10])
+    got = history.prior_features(keyless, key="k", time="t", measures={"n": "one", "v": "v"}, days=[1, 10], rows_per_range=rows_per_range)
     assert got.columns == [*frame.columns, "n_1d", "n_10d", "v_1d", "v_10d"]
     assert got.filter("k IS NULL").agg(F.count("*"), F.sum("n_10d")).first()[:] == (3, 0)
     known = got.filter("k IS NOT NULL").select(plain.columns)
     assert known.exceptAll(plain).count() == 0 and known.count() == plain.count()
 
 
-def test_prior_features_keep_digits_and_types(spark):
+@pytest.mark.parametrize("rows_per_range", [65_536, 3])
+def test_prior_features_keep_digits_and_types(spark, rows_per_range):
     day = lambda d: datetime(2026, 1, 1) + timedelta(days=d)
     rows = [(1, "a", day(0), 1e16), (2, "a", day(20), 0.1), (3, "a", day(45), 0.2), (4, "a", day(60), 0.3), (5, "a", day(60), 5.0), (6, "b", day(1), 7.0),
             (7, "a", day(70), 1.0), (8, "a", None, 12.0), (9, "a", None, 12.0), (10, None, day(3), 4.0), (1, "a", day(0), 1e16)]
     frame = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz, v double").withColumn("money", F.col("id").cast("decimal(18,2)"))
-    got = history.prior_features(frame, key="k", time="t", measures={"v": "v", "m": "money"}, days=[30])
+    got = history.prior_features(frame, key="k", time="t", measures={"v": "v", "m": "money"}, days=[30], rows_per_range=rows_per_range)
     found = sorted((r.id, r.v_30d, float(r.m_30d)) for r in got.collect())
     want = []
     for i, k, t, _ in rows:
@@ -262,6 +264,17 @@ def test_a_dense_key_is_cut_by_row_count(spark):
     assert len(sizes) == 8 and max(sizes) <= 2 * 40_000 / 8
 
 
+def test_ranges_follow_the_data(spark):
+    rows = lambda n: spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 20).alias("wide"))
+    sizes = {}
+    for n in (20_000, 200_000):
+        parts = ordering.range_ordered(rows(n), ["k"], rows_per_range=2_000).groupBy("_part").count().collect()
+        sizes[n] = [r["count"] for r in parts]
+    assert len(sizes[20_000]) == 10 and len(sizes[200_000]) == 100
+    assert max(max(x) for x in sizes.values()) <= 2 * 2_000
+    assert ordering.range_count(rows(0).limit(0)) == 1
+
+
 def test_future_references_are_counted_without_pairs(spark):
     rng = random.Random(3)
     facts = [("hot", rng.randrange(900)) for _ in range(1000)] + [("one", 5), (None, 3), ("hot", None), ("lonely", 1)]
@@ -292,10 +305,11 @@ def test_asof_respects_the_end_of_a_version(spark):
     assert sorted((r.k, r.name) for r in got.collect() if r.name) == [("a", "v1")] and got.count() == 3
 
 
-def test_status_history_spans_buckets(spark):
+@pytest.mark.parametrize("rows_per_range", [65_536, 50, 8])
+def test_status_history_spans_buckets(spark, rows_per_range):
     rows = skewed_rows(600)
     frame = spark.createDataFrame([(i, k, t, "ABC"[v % 3]) for i, k, t, v in rows], "id int, k int, t timestamp_ntz, status string")
-    got = history.status_history(frame, key="k", status="status", time="t", tie="id").collect()
+    got = history.status_history(frame, key="k", status="status", time="t", tie="id", rows_per_range=rows_per_range).collect()
     found = {(r.k, r.source_order): (r.previous_status, r.status, r.valid_to) for r in got}
     expected = {}
     for key in {r[1] for r in rows}:
