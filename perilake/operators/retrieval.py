@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.text import is_object_uri, present
-from perilake.session import reducers
 
 # Functions that run inside tasks travel with the task, so executors need no copy of the package.
 register_pickle_by_value(sys.modules[__name__])
@@ -24,35 +23,33 @@ SHARD_ROWS = 16_384
 QUERY_BLOCK = 256
 
 
-def _best_of_shard(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(question, index row, score) of the k best rows per question, ties to the smaller id."""
+def _best_of_shard(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, index row, score) of the k best rows per question, ties to the earlier row."""
     with np.errstate(invalid="ignore", divide="ignore"):
         scores = (queries @ rows.T) / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1))
     scores = np.where(np.isfinite(scores), scores, -np.inf)
     last = min(k, scores.shape[1]) - 1
     least = -np.partition(-scores, last, axis=1)[:, last]
     asked, found = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # more than k where scores tie
-    order = np.lexsort((ids[found], -scores[asked, found], asked))
+    order = np.lexsort((found, -scores[asked, found], asked))
     asked, found = asked[order], found[order]
     place = np.arange(len(asked)) - np.searchsorted(asked, asked, "left")
     return asked[place < k], found[place < k], scores[asked, found][place < k]
 
 
-def _search_shards(k: int, arrow_id: pa.DataType):
-    """Streams (shard, index rows before questions) and answers the questions block by block."""
+def _search_shards(k: int):
+    """Streams (shard, index rows by key before questions) and answers the questions block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, rows, names, asked = None, [], [], [], []
+        shard, kind, ids, rows, names, asked = None, None, [], [], [], []
 
         def answer() -> pa.RecordBatch | None:
-            if not ids or not names:
-                names.clear()
-                asked.clear()
-                return None
-            q, i, score = _best_of_shard(np.stack(asked), np.stack(rows), np.array(ids), k)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([names[x] for x in q], pa.string()), pa.array([ids[x] for x in i], arrow_id), pa.array(score)],
-                names=["query_id", "id", "score"])
+            out = None
+            if ids and names:
+                q, i, score = _best_of_shard(np.stack(asked), np.stack(rows), k)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array([names[x] for x in q], pa.string()), pa.array([ids[x] for x in i], kind), pa.array(score)],
+                    names=["query_id", "id", "score"])
             names.clear()
             asked.clear()
             return out
@@ -60,14 +57,15 @@ def _search_shards(k: int, arrow_id: pa.DataType):
         for batch in batches:
             vectors = batch.column("embedding")
             flat, cuts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-            keys = (batch.column(c).to_pylist() for c in ("shard", "id", "query_id"))
-            for n, (at, name, question) in enumerate(zip(*keys, strict=True)):
+            kind = batch.schema.field("id").type
+            keys = (batch.column(c).to_pylist() for c in ("shard", "asks", "id", "query_id"))
+            for n, (at, asks, name, question) in enumerate(zip(*keys, strict=True)):
                 if at != shard:
                     if (out := answer()) is not None:
                         yield out
                     shard, ids, rows = at, [], []
                 vector = flat[cuts[n] : cuts[n + 1]].astype(np.float64)
-                if question is None:
+                if not asks:
                     ids.append(name)
                     rows.append(vector)
                 else:
@@ -87,25 +85,23 @@ def nearest_chunks(
 ) -> DataFrame:
     """Top-k cosine matches per question: (query_id, key, score, rank), exact.
 
-    The index is dealt to shards of about ``shard_rows`` rows by a hash of the key. Every question
-    visits every shard, on the executors: a task holds one shard and one block of questions, gives
-    the best k rows per question, and the k best of all shards are kept. No question passes through
-    the driver and no pair is materialised.
+    The index is dealt to shards of about ``shard_rows`` rows by a hash of the key, one task a shard.
+    Every question visits every shard, on the executors: a task holds one shard and one block of
+    questions, gives the best k rows per question, and the k best of all shards are kept. No question
+    passes through the driver and no pair is materialised. Keys keep their type; index rows and
+    questions without a key or a vector take no part. Ties go to the key that sorts first.
     """
-    spark = index.sparkSession
-    id_type = index.schema[key].dataType
-    arrow_id = pa.string() if id_type.simpleString() == "string" else pa.int64()
-    id_name = "string" if arrow_id == pa.string() else "bigint"
-    side = index.filter(F.col(embedding).isNotNull()).select(F.col(key).cast(id_name).alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    kind = index.schema[key].dataType.simpleString()
+    known = lambda frame, name: frame.filter(F.col(name).isNotNull() & F.col(embedding).isNotNull())
+    vector = F.col(embedding).cast("array<double>").alias("embedding")
+    side = known(index, key).select(F.col(key).alias("id"), vector)
     shards = max(1, -(-side.count() // shard_rows))
-    stored = side.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.lit(None).cast("string").alias("query_id"), "embedding")
-    asked = queries.filter(F.col(embedding).isNotNull()).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(None).cast(id_name).alias("id"),
-        F.col(query_key).cast("string").alias("query_id"), F.col(embedding).cast("array<double>").alias("embedding"),
-    )
-    # Index rows have no question, and NULL sorts first.
-    placed = stored.unionByName(asked).repartition(max(shards, reducers(spark)), "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first())
-    partial = placed.mapInArrow(_search_shards(k, arrow_id), f"query_id string, id {id_name}, score double")
+    stored = side.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", F.lit(None).cast("string").alias("query_id"), "embedding")
+    asked = known(queries, query_key).select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(True).alias("asks"),
+        F.lit(None).cast(kind).alias("id"), F.col(query_key).cast("string").alias("query_id"), vector)
+    placed = stored.unionByName(asked).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("asks", "id")
+    partial = placed.mapInArrow(_search_shards(k), f"query_id string, id {kind}, score double")
     return top_k_per_query(partial, "query_id", "score", "id", k).withColumnRenamed("id", key)
 
 

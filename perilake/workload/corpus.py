@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilake.operators import documents, retrieval
+from perilake.operators import documents, lexical, retrieval
+from perilake.session import durable
 from perilake.workload.base import Tables, query
 
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
@@ -148,12 +149,39 @@ def citation_errors(t: Tables) -> DataFrame:
     return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("answers"))
 
 
-@query()
+def _slots_sql(of: str, key: str) -> str:
+    """Term counts of texts: lower-cased words hashed to 1,024 slots."""
+    return f"""SELECT {key}, CAST(('0x' || substr(sha256(word), 1, 8)) AS BIGINT) % 1024 AS slot, count(*) AS tf FROM (
+      SELECT {key}, unnest(words) AS word FROM {of}) GROUP BY 1, 2"""
+
+
+def _unit_sql(counts: str, key: str) -> str:
+    return f"""SELECT {key}, slot, v / sqrt(nullif(sum(CAST(round(v * v * 1e6) AS BIGINT)) OVER (PARTITION BY {key}), 0) / 1e6) AS w
+      FROM (SELECT {key}, c.slot, tf * ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) AS v FROM {counts} c LEFT JOIN frequencies f ON c.slot = f.slot, total)"""
+
+
+_LOWER_WORDS = WORDS_SQL.replace("(text,", "(lower(text),")
+
+
+@query(sql=f"""WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS words FROM documents), sized AS (SELECT *, len(words) AS n FROM d WHERE len(words) > 0),
+numbered AS (SELECT doc_id, words, unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE CAST(ceil((n - 300) / 270) AS BIGINT) + 1 END)) AS chunk_no FROM sized),
+pieces AS (SELECT doc_id || '#' || chunk_no AS chunk_id, 's3://corpus/' || doc_id AS uri, list_slice(words, chunk_no * 270 + 1, chunk_no * 270 + 300) AS words FROM numbered),
+items AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {_LOWER_WORDS} AS words FROM benchmark),
+counts AS ({_slots_sql("pieces", "chunk_id")}), asked AS ({_slots_sql("items", "query_id")}),
+frequencies AS (SELECT slot, count(*) AS df FROM counts GROUP BY 1), total AS (SELECT count(DISTINCT chunk_id) AS n FROM counts),
+p AS ({_unit_sql("counts", "chunk_id")}), q AS ({_unit_sql("asked", "query_id")}),
+scored AS (SELECT query_id, chunk_id, round(sum(CAST(round(q.w * p.w * 1e12) AS BIGINT)) / 1e12, 9) AS score FROM q JOIN p USING (slot) WHERE q.w > 0 AND p.w > 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+SELECT query_id, rank, round(score, 6) AS score, chunk_id, uri FROM ranked JOIN pieces USING (chunk_id) WHERE rank <= 4""")
 def retrieve_chunks(t: Tables) -> DataFrame:
-    """Every benchmark item asked against lexical vectors of all document chunks: top four."""
+    """Every benchmark item asked against the lexical index of all document chunks: top four."""
     pieces = documents.chunk_documents(t.documents.select(F.col("doc_id").cast("string").alias("doc"), "text"))
     chunks = pieces.withColumns({"chunk_id": F.concat_ws("#", "doc", "chunk_no"), "uri": F.concat(F.lit("s3://corpus/"), "doc")})
-    model = documents.fit_embedding(chunks)
-    questions = documents.embed(model, t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("chunk_text")))
-    found = retrieval.retrieve(documents.embed(model, chunks), questions, key="chunk_id")
-    return found.withColumn("score", F.round("score", 6))
+    counts = durable(lexical.term_counts(chunks, "chunk_id"))
+    frequencies = durable(lexical.document_frequencies(counts))
+    texts = counts.select("key").distinct().count()
+    postings = durable(lexical.weighted(counts, frequencies, texts))
+    asked = lexical.term_counts(t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), "text"), "query_id", "text").withColumnRenamed("key", "query_id")
+    found = lexical.nearest_lexical(postings, durable(lexical.weighted(asked, frequencies, texts, "query_id")), retrieval.TOP_K)
+    return found.join(chunks.select(F.col("chunk_id").alias("key"), "uri"), "key").select(
+        "query_id", "rank", F.round("score", 6).alias("score"), F.col("key").alias("chunk_id"), "uri")
