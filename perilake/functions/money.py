@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from perilake.functions.text import cleaned, col
 
 MONEY = "decimal(18,2)"
-MEASURE = "decimal(18,4)"
 PROBABILITY = "decimal(6,5)"
 
 

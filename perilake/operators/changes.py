@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perilake.functions.identity import change_id
 from perilake.functions.temporal import as_instant
-from perilake.operators.dedup import drop_exact_repeats, latest_per_key
+from perilake.operators.dedup import latest_per_key
 
 # Column names a change feed may use, in order of preference.
 OPERATION_COLUMNS = ("Op", "op", "operation")
@@ -55,7 +55,9 @@ def apply_changes(
     return newest_changes(both, key, order, identity)
 
 
-def split_repeats(changes: DataFrame, identity: str = "_source_change_id") -> tuple[DataFrame, DataFrame]:
-    """Unique changes, and the number of times each was repeated beyond the first."""
-    repeats = changes.groupBy(identity).agg((F.count(F.lit(1)) - 1).alias("repeats")).filter("repeats > 0")
-    return drop_exact_repeats(changes, identity), repeats
+def repeat_counts(changes: DataFrame, identity: str = "_source_change_id") -> DataFrame:
+    """Input, distinct and repeated changes and the most copies of one, from a single grouping."""
+    copies = changes.groupBy(identity).agg(F.count(F.lit(1)).alias("n"))
+    return copies.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("input_count"), F.count(F.lit(1)).alias("output_count"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"), F.coalesce(F.max("n"), F.lit(1)).alias("most_copies"))

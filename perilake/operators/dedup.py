@@ -26,7 +26,3 @@ def latest_per_key(
 def drop_exact_repeats(frame: DataFrame, identity: str) -> DataFrame:
     """One row per identity. Rows with equal identity are equal in content, so any one will do."""
     return frame.dropDuplicates([identity])
-
-
-def distinct_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return frame.select(*keys).distinct()

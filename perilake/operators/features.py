@@ -67,8 +67,6 @@ GOLD_FEATURE_COLUMNS = (
     "theft_risk_band", "vehicle_risk_category", "incident_date", "submitted_at", "claim_amount",
     "high_risk_claim", "_run_id", "_ingested_at", "_effective_at",
 )
-MANIFEST_COLUMNS = ("claim_id", "event_time", "as_of_date", "feature_version", "dataset_version",
-                    "source_split", "high_risk_claim")
 # ---------------------------------------------------------------------------------------
 
 

@@ -85,11 +85,8 @@ def learnability(
     """Whether the labels are learnable: balanced enough, some signal, no giveaway feature."""
     rate = features.agg(F.avg(F.col(label).cast("double")).alias("positive_rate"))
     best = univariate_auc(features, label, columns).agg(F.max("auc").alias("best_single_auc"))
-    rate_row, best_row = rate.first(), best.first()  # one row each
-    return features.sparkSession.range(1).select(
-        F.lit(rate_row.positive_rate).cast("double").alias("positive_rate"),
-        F.lit(best_row.best_single_auc).cast("double").alias("best_single_auc"),
-    ).withColumns({
+    one = F.lit(1).alias("_one")  # one row each
+    return rate.select("*", one).join(best.select("*", one), "_one").drop("_one").withColumns({
         "balance_ok": F.col("positive_rate").between(*positive_rate),
         "signal_ok": (F.col("best_single_auc") >= best_auc[0]) & (F.col("best_single_auc") < best_auc[1]),
     })

@@ -137,10 +137,6 @@ def citation_uris(citations: str | Column) -> Column:
     return F.array_distinct(found)
 
 
-def first_seen(values: str | Column) -> Column:
-    return F.array_distinct(F.col(values) if isinstance(values, str) else values)
-
-
 def citation_error(answer: str, uris: str) -> Column:
     """Why an answer may not be shown as grounded, or NULL."""
     return (

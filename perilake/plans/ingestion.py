@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ from perilake.operators.contracts import (
 )
 from perilake.operators.dedup import drop_exact_repeats, latest_per_key
 from perilake.operators.features import feature_projection
-from perilake.operators.joins import Dimension, star_join
+from perilake.operators.joins import Dimension, integrity_report, star_join
 from perilake.operators.marts import broker_performance, daily_summary, policy_performance
-from perilake.operators.quality import GateFailure, evaluate, gate
+from perilake.operators.quality import GateFailure, IsUnique, evaluate, gate
 from perilake.plans.contracts import (
-    CHANGE_TABLES, CLAIM_CONTRACT_LABEL, CLAIM_FILE, DATASET_RULES, REFERENCES, change_rules, reference_rules, typed_claim_rules,
+    CHANGE_TABLES, CLAIM_CONTRACT_LABEL, CLAIM_FILE, DATASET_RULES, FOREIGN_KEYS, REFERENCES, UNIQUE_BUSINESS_KEYS, change_rules,
+    reference_rules, typed_claim_rules,
 )
 from perilake.sources.files import read_change_log, read_csv_snapshot, snapshot_identity
 from perilake.sources.tables import LAYERS, Lakehouse, Staged
@@ -304,6 +306,17 @@ def _changes_silver(lake: Lakehouse, root: str, run_id: str, result: RunResult,
     return total
 
 
+def change_integrity(lake: Lakehouse) -> tuple[DataFrame | None, DataFrame | None]:
+    """Orphans of the source's foreign keys, and how unique its business keys are, over the Silver change tables.
+
+    Tables that were never delivered are left out, with the keys that need them.
+    """
+    tables = {name: frame for name in CHANGE_TABLES if (frame := lake.table_or_none("silver", name)) is not None}
+    keys = [k for k in FOREIGN_KEYS if k[0] in tables and k[2] in tables]
+    unique = [evaluate(tables[name], name, [IsUnique(key)]) for name, key in UNIQUE_BUSINESS_KEYS.items() if name in tables]
+    return integrity_report(tables, keys) if keys else None, reduce(DataFrame.unionByName, unique) if unique else None
+
+
 def _changes_gold(lake: Lakehouse, root: str, run_id: str, result: RunResult, at: Column | None) -> dict[str, int]:
     return changes_to_gold(lake, run_id, at)
 

@@ -169,9 +169,6 @@ class StateTable:
     def publish_view(self, columns: Sequence[Column | str]) -> None:
         """Point the Silver view of the entity at the live rows of the newest version."""
         full = self.lake.name("silver", self.entity)
-        catalog = self.lake.spark.catalog
-        if catalog.tableExists(full) and catalog.getTable(full).tableType != "VIEW":
-            raise ValueError(f"{full} is a table published by full runs; an incremental lake needs names of its own")
         _, entries = self.current()
         by_generation = defaultdict(list)
         for entry in entries:

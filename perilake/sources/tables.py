@@ -73,20 +73,36 @@ class Lakehouse:
         return self.spark.read.format(self.table_format).load(staged.folder)
 
     def release(self, staged: Staged) -> None:
-        """Point the table at a staged snapshot.
+        """Point the table, a view over one snapshot folder, at a staged snapshot.
 
-        Readers keep a whole version, a failed write changes nothing, and a table may be
-        replaced from a query that reads it.
+        The view is replaced in one step of the catalog, whatever the schema: readers see the
+        old version or the new one, never a missing table. A failed write changes nothing, and a
+        table may be replaced from a query that reads it.
         """
         full = self.name(staged.layer, staged.table)
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database(staged.layer)}")
-        if self.spark.catalog.tableExists(full):
-            if self.spark.table(full).schema == self.staged_frame(staged).schema:
-                self.spark.sql(f"ALTER TABLE {full} SET LOCATION '{staged.folder}'")
-                self.spark.catalog.refreshTable(full)
-                return
-            self.spark.sql(f"DROP TABLE {full}")  # external: the files stay
-        self.spark.catalog.createTable(full, path=staged.folder, source=self.table_format)
+        known = self.spark.catalog.tableExists(full)
+        if known and self.spark.catalog.getTable(full).tableType != "VIEW":
+            self.spark.sql(f"DROP TABLE {full}")  # of an older lake, once; external: the files stay
+        self.spark.sql(f"CREATE OR REPLACE VIEW {full} AS SELECT * FROM {self.table_format}.`{staged.folder}`")
+
+    def expire_snapshots(self, layer: str, table: str, keep: int = 2) -> list[str]:
+        """Delete all but the newest ``keep`` snapshot folders of a table, and never the one readers are on.
+
+        A reader that began before keeps its folder as long as it is among them. Folders of failed tries go too.
+        """
+        spark = self.spark
+        base = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{layer}/{table}")
+        files = base.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration())
+        if not files.exists(base):
+            return []
+        found = sorted(((f.getModificationTime(), f.getPath()) for f in files.listStatus(base) if f.isDirectory()), key=lambda x: (x[0], str(x[1])))
+        frame = self.table_or_none(layer, table)
+        used = {name.rsplit("/", 2)[-2] for name in frame.inputFiles()} if frame is not None else set()
+        old = [path for _, path in found[: max(0, len(found) - keep)] if path.getName() not in used]
+        for path in old:
+            files.delete(path, True)
+        return [path.getName() for path in old]
 
     def publish(self, frame: DataFrame, layer: str, table: str, run_id: str) -> int:
         """Replace a table with a full snapshot; returns its row count."""

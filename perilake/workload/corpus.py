@@ -64,7 +64,7 @@ def manifest_changes(t: Tables) -> DataFrame:
 @query(sql=f"""WITH {CHANGES_SQL} SELECT (SELECT count(*) FROM diff WHERE change <> 'unchanged') AS moved, count(*) AS documents_discovered, count(*) FILTER (status = 'VALID') AS documents_valid,
  count(*) FILTER (status = 'REJECTED') AS documents_rejected, CASE WHEN count(*) FILTER (status = 'REJECTED') > 0 THEN 'BLOCKED' WHEN (SELECT count(*) FROM diff WHERE change <> 'unchanged') = 0 THEN 'SKIP' ELSE 'SYNC' END AS decision FROM manifest""")
 def sync_decision(t: Tables) -> DataFrame:
-    current = documents.document_manifest(_files(t))
+    current = durable(documents.document_manifest(_files(t)))
     return documents.sync_decision(documents.manifest_changes(_previous(t), current), current)
 
 

@@ -172,11 +172,7 @@ FROM (SELECT id, count(*) OVER (PARTITION BY id) AS n FROM (
   SELECT sha256(concat_ws('||', l_orderkey, l_linenumber, l_returnflag)) AS id FROM lineitem))""")
 def dedup_exact_changes(t: Tables) -> DataFrame:
     rows = t.lineitem.select(row_hash(["l_orderkey", "l_linenumber", "l_returnflag"]).alias("_source_change_id"))
-    unique, repeats = changes.split_repeats(rows)
-    kept = unique.agg(F.count(F.lit(1)).alias("output_count"))
-    lost = repeats.agg(F.coalesce(F.sum("repeats"), F.lit(0)).alias("duplicate_count"), (F.coalesce(F.max("repeats"), F.lit(0)) + 1).alias("most_copies"))
-    both = kept.withColumn("_one", F.lit(1)).join(lost.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return both.select((F.col("output_count") + F.col("duplicate_count")).alias("input_count"), "output_count", "duplicate_count", "most_copies")
+    return changes.repeat_counts(rows)
 
 
 CURRENT_SQL = f"""WITH {USER_CHANGES}
@@ -355,7 +351,7 @@ FROM landing JOIN first USING (fid) LEFT JOIN done d USING (fid)""")
 def new_files(t: Tables) -> DataFrame:
     """Labelled documents count as already published; the rest arrive now."""
     name = F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 10, "0"))
-    files = t.documents.select("doc_id", name.alias("source_object"), F.sha2("text", 256).alias("source_file_id"))
+    files = durable(t.documents.select("doc_id", name.alias("source_object"), F.sha2("text", 256).alias("source_file_id")))
     ledger = files.join(t.labels.select("doc_id"), "doc_id", "left_semi")
     return joins.new_files(files, ledger).select("doc_id", "status")
 

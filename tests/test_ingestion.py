@@ -9,7 +9,7 @@ from perilake.operators.audit import audit_errors
 from perilake.operators.contracts import SchemaMismatch
 from perilake.operators.quality import GateFailure
 from perilake.plans.contracts import CHANGE_TABLES, CLAIM_FILE, REFERENCES
-from perilake.plans.ingestion import UnsupportedFile, dataset_of, run_changes, run_file
+from perilake.plans.ingestion import UnsupportedFile, change_integrity, dataset_of, run_changes, run_file
 
 CLAIM = dict(
     claim_id="clm-1", claim_number="BRK-1", policy_id="pol_6001", customer_id="cus_4001", claim_status="submitted",
@@ -164,6 +164,9 @@ def test_change_log_golden_run(lake, tmp_path):
     assert "description" not in claims["clm_7001"] and "_operation" not in claims["clm_7001"]
     assert lake.read_layer("silver", "payments").count() == 0
     assert lake.read_layer("gold", "claim_daily_summary_cdc").count() == 3
+    orphans, unique = change_integrity(lake)
+    assert sum(r.orphan_rows for r in orphans.collect()) == 0 and orphans.count() == 6
+    assert {r.entity: r.outcome for r in unique.collect()} == {"products": "Passed", "policies": "Passed", "claims": "Failed"}  # the seed gives no claim numbers
     again = run_changes(lake, str(tmp_path / "cdc"), "cdc-2")
     assert again.counts == result.counts
 
