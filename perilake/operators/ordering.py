@@ -12,18 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilake.functions.text import col
-from perilake.session import durable
+from perilake.session import durable, reducers
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low bits
 
 
 RANGE_ROWS = 65_536  # a range of narrow rows: a few megabytes, and a task's memory where a range is held whole
+FEWEST_ROWS = 1_024  # not worth a task of its own
 MOST_RANGES = 40_000  # one row a range may be collected or broadcast: some megabytes
 
 
 def range_count(frame: DataFrame, rows_per_range: int = RANGE_ROWS) -> int:
-    """Number of ranges for a frame of this size. Beyond ``MOST_RANGES`` ranges grow instead."""
-    return max(1, min(MOST_RANGES, -(-frame.count() // rows_per_range)))
+    """Number of ranges for a frame of this size.
+
+    As many as its rows need; at least one for each of the session's reducers while that leaves ranges
+    of ``FEWEST_ROWS``; beyond ``MOST_RANGES`` ranges grow instead.
+    """
+    rows = frame.count()
+    busy = min(reducers(frame.sparkSession), -(-rows // min(FEWEST_ROWS, rows_per_range)))
+    return max(1, min(MOST_RANGES, max(busy, -(-rows // rows_per_range))))
 
 
 def range_ordered(frame: DataFrame, order: Sequence[str | Column], partitions: int | None = None, rows_per_range: int = RANGE_ROWS) -> DataFrame:

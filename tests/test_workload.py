@@ -37,4 +37,4 @@ def test_entry(spark):
 
 
 def test_unsqlable_queries_are_few():
-    assert set(queries()) - set(LLM) - set(SQL) == {"retrieve_chunks", "train_and_score"}
+    assert set(queries()) - set(LLM) - set(SQL) == {"train_and_score"}
