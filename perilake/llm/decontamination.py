@@ -12,11 +12,14 @@ segment. In what is left, shared q-grams are counted per segment in diagonal ban
 that overlap by half, and bands with T of them are retained. A retained region is verified by
 alignment in a band of 2k + 1 diagonals, so the answer is exact: nothing is missed or guessed.
 
-Documents are read once per block of items and never move. A block of items is bounded by
-``block_bytes``, and that is what a task gets; a larger benchmark takes more blocks.
+Documents never move. A block of items is bounded by ``block_bytes``, and that is what a task gets; a
+larger benchmark takes more blocks. Rows are judged as they stand, one by one: searching more blocks
+numbers the rows first, and filtering passes them from block to block, so no id decides about a row.
 
 Defined results: missing and empty texts hold no passage; missing or empty items, and items of fewer
-than ``min_item`` bytes, match nothing; repeated rows are judged alike; empty tables give empty results.
+than ``min_item`` bytes, match nothing; an item without an id is named ``null`` and listed last;
+repeated rows and rows without an id, or sharing one, are judged by their own text; a span starts a
+segment's length before its end; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilake.llm.common import column_values, query, same, table
+from perilake.llm.common import column_values, durable, query, table
 
 Q = 12
 BITS = 22  # of the bitmap of q-grams
@@ -143,7 +146,7 @@ class SegmentIndex:
 def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Overlapping spans of one item as one span, ordered by item and start."""
     out: list[tuple[int, int, int]] = []
-    for item, start, end in sorted(spans):
+    for item, start, end in sorted(spans, key=lambda s: (s[0] is None, "" if s[0] is None else s[0], s[1], s[2])):
         if out and out[-1][0] == item and start <= out[-1][2]:
             out[-1] = (item, out[-1][1], max(end, out[-1][2]))
         else:
@@ -166,56 +169,86 @@ def find_in_block(index: SegmentIndex, texts: list[bytes]) -> list[list[tuple[in
     return out
 
 
+def searched(index: SegmentIndex, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+    """Passages of each text, about a megabyte at a time, which stays in the processor's cache."""
+    plain = [normal(t) for t in texts]
+    found, at = [], 0
+    while at < len(plain):
+        end, size = at, 0
+        while end < len(plain) and (end == at or size < 1 << 20):
+            size += len(plain[end])
+            end += 1
+        found += find_in_block(index, plain[at:end])
+        at = end
+    return found
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, min_item: int, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
+    """Normalised items of ``min_item`` bytes or more, about ``block_bytes`` at a time."""
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield [(row.item, data) for row in part.collect() if len(data := normal(row.text)) >= min_item]
+
+
 def find_passages(
     documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", segment: int = 80, budget: float = 0.06, min_item: int = 30, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per document that holds a passage: ``doc_id, n_passages, items, spans``.
 
-    ``items`` and ``spans`` are comma-joined item ids and ``item:start:end`` (bytes of the normalised text).
+    ``items`` and ``spans`` are comma-joined item ids and ``item:start:end`` (bytes of the normalised text), by item and start.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
-    named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
+    blocks = list(item_blocks(benchmark, item_id, item_text, min_item, block_bytes))  # what tasks get, a block each
+    named = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    if len(blocks) > 1:
+        named = durable(named)  # every block sees the same numbers
+    made = f"doc_id {kind}, __row long, found array<struct<place:int,item:string,start:long,end:long>>"
+    shape = pa.list_(pa.struct([("place", pa.int32()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    order = {item: i for i, item in enumerate(sorted({item for block in blocks for item, _ in block}, key=lambda x: (x is None, "" if x is None else x)))}
+
+    def search(known: list[tuple[object, bytes]]):
+        places = {item: order[item] for item, _ in known}
 
-    def search(known: list[tuple[int, bytes]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = SegmentIndex(known, segment, budget)
             for batch in batches:
-                texts = [normal(t) for t in column_values(batch, "__text")]
-                found, at = [], 0
-                while at < len(texts):  # about a megabyte at a time stays in the processor's cache
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size < 1 << 20):
-                        size += len(texts[end])
-                        end += 1
-                    found += find_in_block(index, texts[at:end])
-                    at = end
+                found = searched(index, column_values(batch, "__text"))
                 rows = [i for i, f in enumerate(found) if f]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array([[f"{x}" for x, _, _ in found[i]] for i in rows], pa.list_(pa.string())),
-                    pa.array([[f"{x}:{a}:{b}" for x, a, b in found[i]] for i in rows], pa.list_(pa.string())),
-                ], names=["doc_id", "items", "spans"])
+                told = [[{"place": places[x], "item": "null" if x is None else f"{x}", "start": a, "end": b} for x, a, b in found[i]] for i in rows]
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "__row")] + [pa.array(told, shape)], names=["doc_id", "__row", "found"])
+
+        return named.mapInArrow(run, made)
+
+    found = documents.sparkSession.createDataFrame([], made)
+    for number, known in enumerate(blocks):
+        found = found.unionByName(search(known)) if number else search(known)
+    if len(blocks) > 1:
+        found = found.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("found")).alias("found"))  # one row a block
+    spans = F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", s["item"], s["start"].cast("string"), s["end"].cast("string")))
+    items = F.array_distinct(F.transform(F.array_sort("found"), lambda s: s["item"]))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_passages"), F.array_join(items, ",").alias("items"), F.array_join(spans, ",").alias("spans"))
+
+
+def without_passages(
+    documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    segment: int = 80, budget: float = 0.06, min_item: int = 30, block_bytes: int = 4 << 20,
+) -> DataFrame:
+    """Documents that hold no benchmark passage, with all their columns; each row is judged by its own text."""
+    for known in item_blocks(benchmark, item_id, item_text, min_item, block_bytes):
 
-        return named.mapInArrow(run, f"doc_id {kind}, items array<string>, spans array<string>")
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            index = SegmentIndex(known, segment, budget)
+            for batch in batches:
+                yield batch.filter(pa.array([not f for f in searched(index, column_values(batch, text))], pa.bool_()))
 
-    found = documents.sparkSession.createDataFrame([], f"doc_id {kind}, items array<string>, spans array<string>")
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        known = [(row.item, data) for row in part.collect() if len(data := normal(row.text)) >= min_item]  # about block_bytes
-        found = search(known) if blocks == 1 else found.unionByName(search(known))
-    if blocks > 1:
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_passages"), F.array_join(F.array_distinct("items"), ",").alias("items"), F.array_join("spans", ",").alias("spans"))
-
-
-def without_passages(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Documents that hold no benchmark passage, with all their columns."""
-    leaks = find_passages(documents, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("__leak"))
-    return documents.join(leaks, same(F.col(doc_id), F.col("__leak")), "left_anti")
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
 
 
 @query("op6_benchmark_decontamination")

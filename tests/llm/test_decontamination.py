@@ -70,3 +70,18 @@ def test_whole_table(spark):
     kept = without_passages(documents, benchmark)
     assert kept.columns == documents.columns and kept.count() == 42
     assert find_passages(documents.limit(0), benchmark).collect() == [] and find_passages(documents, benchmark.limit(0)).collect() == []
+
+
+def test_rows_without_an_id_or_sharing_one_and_items_without_one(spark):
+    rng = random.Random(12)
+    items = [prose(rng, 25) for _ in range(8)]
+    clean = [prose(rng, 60) for _ in range(2)]
+    dirty = [prose(rng, 20) + " " + items[0] + " " + prose(rng, 20) + " " + items[1], prose(rng, 9) + " " + items[2]]
+    rows = [(None, clean[0]), (None, dirty[0]), (5, clean[1]), (5, dirty[1]), (5, dirty[1])]
+    documents = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, found string")
+    benchmark = spark.createDataFrame([(None, items[0]), (None, items[3]), *[(i, t) for i, t in enumerate(items) if i]], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in without_passages(documents, benchmark).collect()) == sorted([(0, clean[0]), (5, clean[1])])
+    assert sorted((r.doc_id or 0, r.text) for r in without_passages(documents, benchmark, block_bytes=300).collect()) == sorted([(0, clean[0]), (5, clean[1])])
+    one, many = (sorted(map(tuple, find_passages(documents, benchmark, block_bytes=size).collect()), key=str) for size in (4 << 20, 300))
+    assert one == many and len(one) == 3
+    assert {(r[0], r[2]) for r in one} == {(None, "1,null"), (5, "2")}
