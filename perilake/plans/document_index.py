@@ -112,8 +112,8 @@ def ask_index(lake: Lakehouse, questions: DataFrame, k: int = retrieval.TOP_K, b
     texts = summed.filter("slot = -1").select("df").first()
     frequencies = summed.filter("slot >= 0")
     n = texts.df if texts else 0
-    postings = durable(lexical.weighted(_terms(rows).select("key", "slot", "tf"), frequencies, n))
+    vectors = durable(_chunks(rows).select(F.col("c.chunk_id").alias("key"), F.col("c.terms.slot").alias("slots"), F.col("c.terms.tf").cast("array<int>").alias("tfs")))
     asked = lexical.term_counts(questions, "query_id", "question").withColumnRenamed("key", "query_id")
-    found = lexical.nearest_lexical(postings, durable(lexical.weighted(asked, frequencies, n, "query_id")), k)
+    found = lexical.nearest_texts(vectors, frequencies, n, durable(lexical.weighted(asked, frequencies, n, "query_id")), k)
     named = _chunks(rows).select(F.col("c.chunk_id").alias("key"), F.col("c.text").alias("text"), F.col("source").alias("uri"))
     return found.join(named, "key").select("query_id", "rank", "score", "text", "uri")

@@ -177,11 +177,10 @@ def retrieve_chunks(t: Tables) -> DataFrame:
     """Every benchmark item asked against the lexical index of all document chunks: top four."""
     pieces = documents.chunk_documents(t.documents.select(F.col("doc_id").cast("string").alias("doc"), "text"))
     chunks = pieces.withColumns({"chunk_id": F.concat_ws("#", "doc", "chunk_no"), "uri": F.concat(F.lit("s3://corpus/"), "doc")})
-    counts = durable(lexical.term_counts(chunks, "chunk_id"))
-    frequencies = durable(lexical.document_frequencies(counts))
-    texts = counts.select("key").distinct().count()
-    postings = durable(lexical.weighted(counts, frequencies, texts))
+    vectors = lexical.term_vectors(chunks, "chunk_id")
+    frequencies = durable(lexical.document_frequencies(vectors.select(F.explode("slots").alias("slot"))))
+    texts = vectors.count()
     asked = lexical.term_counts(t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), "text"), "query_id", "text").withColumnRenamed("key", "query_id")
-    found = lexical.nearest_lexical(postings, durable(lexical.weighted(asked, frequencies, texts, "query_id")), retrieval.TOP_K)
+    found = lexical.nearest_texts(vectors, frequencies, texts, durable(lexical.weighted(asked, frequencies, texts, "query_id")), retrieval.TOP_K)
     return found.join(chunks.select(F.col("chunk_id").alias("key"), "uri"), "key").select(
         "query_id", "rank", F.round("score", 6).alias("score"), F.col("key").alias("chunk_id"), "uri")

@@ -91,3 +91,29 @@ def test_dense_search_keeps_key_types_and_skips_missing_keys(spark):
     kind = retrieval.nearest_chunks(frame, asked, key="d", k=5).schema["d"].dataType.simpleString()
     assert kind == "decimal(5,1)"
     assert retrieval.nearest_chunks(frame, asked.limit(0), key="n").count() == 0
+
+
+def test_no_pair_of_question_and_text_is_shuffled(spark, monkeypatch):
+    """Texts in one row each, over several shards: equal to plain cosines, and only the k best of a shard leave it."""
+    monkeypatch.setattr(lexical, "SHARD_TEXTS", 100)
+    rng = random.Random(6)
+    texts = made(rng, 500) + [(None, "w1 r1"), ("empty", " "), ("none", None)]
+    texts += [(f"z{i}", texts[5][1]) for i in range(6)]
+    parts = [(key, half) for key, text in texts[:40] for half in (" ".join(text.split()[:9]), " ".join(text.split()[9:]))] + texts[40:]  # a key in two rows is one text
+    questions = [(f"q{i}", texts[i * 7][1]) for i in range(15)] + [("lost", "nowhere at all"), ("blank", "")]
+    frame = spark.createDataFrame(parts, "id string, body string")
+    vectors = lexical.term_vectors(frame, "id", "body")
+    plain = {(r.key, r.slot, r.tf) for r in lexical.term_counts(frame, "id", "body").collect()}
+    assert {(r.key, s, n) for r in vectors.collect() for s, n in zip(r.slots, r.tfs, strict=True)} == plain
+    frequencies = durable(lexical.document_frequencies(vectors.select(F.explode("slots").alias("slot"))))
+    n = vectors.count()
+    asked = durable(lexical.weighted(lexical.term_counts(spark.createDataFrame(questions, "q string, body string"), "q", "body").withColumnRenamed("key", "query_id"), frequencies, n, "query_id"))
+    found = lexical.nearest_texts(vectors, frequencies, n, asked, 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.key, round(r.score, 7)))
+    want = brute(texts, questions, 4)
+    assert {name: [k for k, _ in best] for name, best in got.items()} == {name: [k for k, _ in best] for name, best in want.items()}
+    assert [s for best in got.values() for _, s in best] == pytest.approx([s for name in got for _, s in want[name]], abs=2e-7)
+    for plan in (found, lexical.nearest_lexical(durable(lexical.weighted(lexical.term_counts(frame, "id", "body"), frequencies, n)), asked, 4)):
+        assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
