@@ -52,9 +52,14 @@ def heavy_keys(frame: DataFrame, key: str, share: float = 0.01, tracked: int = 1
     at most a small multiple of rows/``tracked``, so a value near ``share`` may be missing. Use
     it to choose how rows are dealt, never which rows count.
     """
+    return heavy_keys_and_rows(frame, key, share, tracked)[0]
+
+
+def heavy_keys_and_rows(frame: DataFrame, key: str, share: float = 0.01, tracked: int = 10_000) -> tuple[list, int]:
+    """:func:`heavy_keys`, and the number of all rows from the same pass."""
     most = int(1 / share)
-    one = frame.agg(F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"), F.count(key).alias("n")).first()
-    return [r.item for r in one.top or () if r.item is not None and r["count"] >= share * one.n]
+    one = frame.agg(F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"), F.count(key).alias("n"), F.count(F.lit(1)).alias("all")).first()
+    return [r.item for r in one.top or () if r.item is not None and r["count"] >= share * one.n], one["all"]
 
 
 def hot_keys(frame: DataFrame, key: str, share: float = 0.01) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from perilake.functions.identity import row_hash
 from perilake.functions.money import MONEY, ratio, total, zero_if_missing
 from perilake.functions.text import col
-from perilake.operators.joins import Dimension, heavy_keys, star_join
+from perilake.operators.joins import Dimension, heavy_keys_and_rows, star_join
+from perilake.session import tasks_for
 
 
 def daily_summary(
@@ -45,7 +46,8 @@ def policy_performance(
     groups; only the others meet the rows. Since every grouping holds the policy, the first
     deal serves the distinct count and the totals as well: one narrow shuffle of the fact.
     Policies with a hundredth of all claims or more are dealt by (policy, claim) instead, and what
-    is left of them, a row per task and group, is added up once more.
+    is left of them, a row per task and group, is added up once more. The number of tasks follows the
+    number of claims: every grouping of a task holds all its claims in memory.
     """
     known, early, late = {c for c in keys if c in claims.columns}, [], []
     for dim in dimensions:
@@ -61,7 +63,7 @@ def policy_performance(
                            zero_if_missing(approved).alias("_approved"), F.col(submitted).alias("_submitted"))
 
     def rolled(rows: DataFrame, *by: str) -> DataFrame:
-        dealt = rows.repartition(*by)
+        dealt = rows.repartition(tasks, *by)
         if early:
             dealt = star_join(dealt.groupBy(*ids, "_claim").agg(*sums, *[F.max(c).alias(c) for c in carried]), early)
         once = dealt.groupBy(*groups, "_claim").agg(*sums, *[F.max(c).alias(c) for c in own])
@@ -69,7 +71,8 @@ def policy_performance(
             *[F.max(c).alias(c) for c in own], F.count("_claim").alias("claim_count"), total("_amount").alias("total_claim_amount"),
             total("_approved").alias("total_approved_amount"), F.max("_submitted").alias("latest_claim_submitted_at"))
 
-    heavy = heavy_keys(claims, policy)
+    heavy, count = heavy_keys_and_rows(claims, policy)
+    tasks = tasks_for(claims.sparkSession, count)
     found = rolled(narrow, policy)
     if heavy:
         busy = F.coalesce(F.col(policy).isin(*heavy), F.lit(False))

@@ -9,6 +9,7 @@ import pytest
 from conftest import rows
 from perilake.operators.joins import Dimension, heavy_keys
 from perilake.operators.marts import policy_performance
+from perilake import session
 from perilake.session import durable
 
 KEYS = ["policy_id", "category", "broker_id", "broker_name", "currency"]
@@ -64,3 +65,15 @@ def test_policy_performance_of_an_enriched_fact(spark):
     found = {tuple(r[k] for k in KEYS): (r["annual_premium_amount"], r["claim_count"], r["total_claim_amount"], r["total_approved_amount"], r["latest_claim_submitted_at"]) for r in rows(got)}
     assert found == brute(claims)
     assert policy_performance(fact.limit(0), KEYS).count() == 0
+
+
+def test_tasks_follow_the_number_of_claims(spark, monkeypatch):
+    monkeypatch.setattr(session.tasks_for, "__defaults__", (100,))
+    claims = [c for c in made(2000, 0.0) if c[1] in POLICIES]
+    wide = [(*c, POLICIES[c[1]], PRODUCTS.get(c[2]), BROKERS.get(c[3])) for c in claims]
+    fact = spark.createDataFrame(wide, "claim_id string, policy_id int, product_id int, broker_id int, currency string, claim_amount decimal(18,2), approved_amount decimal(18,2), submitted_at int, annual_premium_amount decimal(18,2), category string, broker_name string")
+    got = policy_performance(fact, KEYS)
+    assert "hashpartitioning(policy_id#" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert f", {-(-len(claims) // 100)}), REPARTITION_BY_NUM" in plan
+    found = {tuple(r[k] for k in KEYS): (r["annual_premium_amount"], r["claim_count"], r["total_claim_amount"], r["total_approved_amount"], r["latest_claim_submitted_at"]) for r in rows(got)}
+    assert found == brute(claims)
