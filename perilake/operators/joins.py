@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from perilake.functions.temporal import micros
 from perilake.functions.text import present
 from perilake.operators.ordering import range_ordered, running_before
-from perilake.session import durable
+from perilake.session import durable, tasks_for
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,20 @@ def heavy_keys_and_rows(frame: DataFrame, key: str, share: float = 0.01, tracked
     return [r.item for r in one.top or () if r.item is not None and r["count"] >= share * one.n], one["all"]
 
 
+def dealt_by(frame: DataFrame, key: str) -> list[DataFrame]:
+    """The frame in parts that share no key: rows dealt by ``key`` to as many tasks as they need, and rows of heavy keys, if any, as they are.
+
+    A part that is dealt is grouped by the key without another shuffle, each task holding a bounded number of
+    rows. Rows of a heavy key are few keys, so Spark combines them before it shuffles them.
+    """
+    heavy, rows = heavy_keys_and_rows(frame, key)
+    tasks = tasks_for(frame.sparkSession, rows)
+    if not heavy:
+        return [frame.repartition(tasks, key)]
+    busy = F.coalesce(F.col(key).isin(*heavy), F.lit(False))
+    return [frame.filter(~busy).repartition(tasks, key), frame.filter(busy)]
+
+
 def hot_keys(frame: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys holding at least ``share`` of the rows, and how many: never more than 1/share of them."""
     sized = frame.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))

@@ -121,6 +121,12 @@ def evaluate(frame: DataFrame, entity: str, rules: Sequence[DatasetRule]) -> Dat
     return judge(_passing(frame, rules), entity)
 
 
+def evaluate_parts(parts: Sequence[DataFrame], entity: str, rules: Sequence[DatasetRule]) -> DataFrame:
+    """:func:`evaluate` of a dataset in parts that share no key of its uniqueness rules."""
+    counted = reduce(DataFrame.unionByName, [_passing(part, rules) for part in parts])
+    return judge(counted.groupBy("position", "rule").agg(F.sum("passing").alias("passing"), F.sum("total").alias("total")), entity)
+
+
 def judge(passing: DataFrame, entity: str) -> DataFrame:
     """Metric, outcome and reason of each rule, from its passing and total rows."""
     metric = F.col("passing") / F.nullif(F.col("total"), F.lit(0))

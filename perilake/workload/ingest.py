@@ -284,11 +284,11 @@ SELECT 'before_dedup' AS gate, round(sum((n = 1)::INT) / sum(n), 6) AS uniquenes
 UNION ALL SELECT 'after_dedup', round(sum((n = 1)::INT) / sum(n), 6), 'PASS' FROM (SELECT count(*) AS n FROM newest GROUP BY claim_id)""")
 def gate_position(t: Tables) -> DataFrame:
     """The same uniqueness gate before and after de-duplication."""
-    lines = claim_lines(t)
-    newest = dedup.latest_per_key(lines, ["claim_id"], ["submitted_at"])
+    lines = joins.dealt_by(claim_lines(t).select("claim_id", "submitted_at"), "claim_id")
+    newest = [dedup.latest_per_key(part, ["claim_id"], ["submitted_at"]) for part in lines]
     parts = []
-    for name, frame in (("before_dedup", lines), ("after_dedup", newest)):
-        judged = quality.evaluate(frame, name, [IsUnique("claim_id")])
+    for name, frames in (("before_dedup", lines), ("after_dedup", newest)):
+        judged = quality.evaluate_parts(frames, name, [IsUnique("claim_id")])
         status = F.when(F.col("outcome") == "Passed", "PASS").otherwise("FAIL")
         parts.append(judged.select(F.col("entity").alias("gate"), F.col("metric").alias("uniqueness"), status.alias("status")))
     return reduce(DataFrame.unionByName, parts)

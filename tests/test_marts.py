@@ -7,7 +7,9 @@ from decimal import Decimal
 import pytest
 
 from conftest import rows
-from perilake.operators.joins import Dimension, heavy_keys
+from perilake.operators import quality
+from perilake.operators.dedup import latest_per_key
+from perilake.operators.joins import Dimension, dealt_by, heavy_keys
 from perilake.operators.marts import policy_performance
 from perilake import session
 from perilake.session import durable
@@ -77,3 +79,18 @@ def test_tasks_follow_the_number_of_claims(spark, monkeypatch):
     assert f", {-(-len(claims) // 100)}), REPARTITION_BY_NUM" in plan
     found = {tuple(r[k] for k in KEYS): (r["annual_premium_amount"], r["claim_count"], r["total_claim_amount"], r["total_approved_amount"], r["latest_claim_submitted_at"]) for r in rows(got)}
     assert found == brute(claims)
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_uniqueness_of_dealt_parts(spark, monkeypatch, hot):
+    monkeypatch.setattr(session.tasks_for, "__defaults__", (100,))
+    claims = [(f"c{i % 700}", i) for i in range(1000)] + [("c5", -i) for i in range(hot)] + [(None, 1), (None, 2)]
+    frame = spark.createDataFrame(claims, "claim_id string, at int")
+    parts = dealt_by(frame, "claim_id")
+    assert len(parts) == (2 if hot else 1) and sum(p.count() for p in parts) == len(claims)
+    assert parts[0].rdd.getNumPartitions() == -(-len(claims) // 100)
+    for now in (parts, [latest_per_key(p, ["claim_id"], ["at"]) for p in parts]):
+        whole = now[0].unionByName(now[1]) if hot else now[0]
+        assert rows(quality.evaluate_parts(now, "c", [quality.IsUnique("claim_id")])) == rows(quality.evaluate(whole, "c", [quality.IsUnique("claim_id")]))
+    plan = quality.evaluate_parts(dealt_by(frame, "claim_id")[:1], "c", [quality.IsUnique("claim_id")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(claim_id") == 1 and "hashpartitioning(k" not in plan
