@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import SparkContext, StorageLevel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark import SparkContext
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from perilake.functions.money import PROBABILITY, is_probability, risk_level
 from perilake.functions.text import present
+from perilake.operators import boosting
 from perilake.operators.metrics import evaluate_binary
-from perilake.session import checkpoint_folder
 
 # --- fixed values: training settings and gate ------------------------------------------
 MAX_ROUNDS = 100
@@ -43,25 +43,12 @@ def train_classifier(
 ) -> GBTClassificationModel:
     """Boosted trees on the train split, cut at the best round of the validation split.
 
-    All rounds are fitted: Spark's own early stopping ends at the first round that gains less than a
-    hundredth. Then rounds count until ``PATIENCE`` of them in a row bring no smaller validation loss.
+    Rounds count until ``PATIENCE`` of them in a row bring no smaller validation loss; those after are not fitted.
     """
-    checkpoint_folder(vectors.sparkSession)
-    labelled = assemble(vectors.filter(F.col(split).isin("train", "validation")), names).select(
-        "features", F.col(label).cast("double").alias("label"), F.col(split).alias("part")
+    return boosting.fit(
+        vectors, list(names), label, split, rounds=rounds, depth=MAX_DEPTH, step=STEP_SIZE, least=MIN_CHILD, row_share=ROW_SAMPLE,
+        feature_share=float(COLUMN_SAMPLE), seed=seed, best=best_round, patience=PATIENCE,
     )
-    trees = GBTClassifier(
-        maxIter=rounds, maxDepth=MAX_DEPTH, stepSize=STEP_SIZE, minInstancesPerNode=MIN_CHILD,
-        subsamplingRate=ROW_SAMPLE, featureSubsetStrategy=COLUMN_SAMPLE, seed=seed, checkpointInterval=10,
-    )
-    # Every boosting round reads the rows again.
-    labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = trees.fit(labelled.filter("part = 'train'"))
-        held_out = labelled.filter("part = 'validation'")
-        return first_trees(model, best_round(model.evaluateEachIteration(held_out))) if held_out.head(1) else model
-    finally:
-        labelled.unpersist()
 
 
 def best_round(losses: Sequence[float], patience: int = PATIENCE) -> int:

@@ -5,9 +5,10 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from perilake.operators import documents, features, retrieval, scoring
+from perilake.operators import boosting, documents, features, retrieval, scoring
 from perilake.operators.ordering import positional_join
 from perilake.plans import documents as document_runs
 from perilake.plans import risk as risk_runs
@@ -271,3 +272,64 @@ def test_boosting_waits_for_the_best_round(spark):
     assert short.getNumTrees == 3 and short.treeWeights == model.treeWeights[:3] and short.trees[2].toDebugString == model.trees[2].toDebugString
     got = scoring.score_batch(short, frame, ["x", "y"]).agg(F.min("probability"), F.max("probability")).first()
     assert 0 < got[0] < got[1] < 1
+
+
+def boosting_rows(spark, count=3000):
+    rows = [(float(i % 97), float(i * 7 % 13), float(i % 3 == 0), 1.0, int((i % 97) * (i * 7 % 13) > 250), ("train", "train", "train", "validation", "test")[i % 5])
+            for i in range(count)]
+    return spark.createDataFrame(rows, "a double, b double, flag double, same double, label int, split string").repartition(3).cache()
+
+
+def test_boosting_reads_the_rows_once_a_level(spark):
+    """Three passes a round: the rows of a round are never sorted, joined or sent anywhere, and no round is fitted after the wait."""
+    frame, names = boosting_rows(spark), ["a", "b", "flag", "same"]
+    frame.count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    try:
+        scoring.train_classifier(frame, names, "label", rounds=10)
+        jobs = len(tracker.getJobIdsForGroup("boosting"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10 * scoring.MAX_DEPTH + 6
+
+
+def test_boosted_margins_losses_and_model_agree(spark):
+    """What the blocks add up over a rebase is what Spark's model gives, and the trees are as good as Spark's own."""
+    frame, names = boosting_rows(spark), ["a", "b", "flag", "same"]
+    seen = []
+
+    def best(losses):
+        seen[:] = losses
+        return len(losses)
+
+    settings = dict(rounds=23, depth=3, step=0.08, least=2, row_share=0.8, feature_share=0.8, seed=42, patience=12)
+    model = boosting.fit(frame, names, "label", "split", best=best, **settings)
+    held = scoring.assemble(frame.filter("split = 'validation'"), names).withColumn("label", F.col("label").cast("double"))
+    assert model.getNumTrees == len(seen) == 23 and boosting.REBASE < 23
+    assert seen == pytest.approx(model.evaluateEachIteration(held), rel=1e-9)
+    train = scoring.assemble(frame.filter("split = 'train'"), names).withColumn("label", F.col("label").cast("double"))
+    own = GBTClassifier(maxIter=23, maxDepth=3, stepSize=0.08, minInstancesPerNode=2, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42).fit(train)
+    assert seen[-1] <= own.evaluateEachIteration(held)[-1] * 1.05
+    again = boosting.fit(frame.repartition(1), names, "label", "split", best=best, **settings)
+    assert again.getNumTrees == 23
+    early = boosting.fit(frame, names, "label", "split", best=lambda losses: min(len(losses), 2), **settings | {"patience": 3})
+    assert early.getNumTrees == 2 and early.trees[1].toDebugString == model.trees[1].toDebugString.replace(model.trees[1].uid, early.trees[1].uid)
+
+
+def test_boosting_with_all_rows_finds_the_best_split(spark):
+    """Without draws the first split is the one that brute force finds, and a missing number is an error."""
+    frame, names = boosting_rows(spark), ["a", "b", "flag", "same"]
+    settings = dict(rounds=1, depth=1, step=0.08, least=2, row_share=1.1, feature_share=1.0, seed=1, best=len, patience=12)
+    model = boosting.fit(frame, ["b", "flag", "same"], "label", "split", **settings)
+    rows = [(r.b, r.flag, 2 * r.label - 1) for r in frame.filter("split = 'train'").collect()]
+    gains = {}
+    for at, name in enumerate(("b", "flag")):
+        for cut in sorted({r[at] for r in rows})[:-1]:
+            left, right = ([r[2] for r in rows if (r[at] <= cut) == side] for side in (True, False))
+            gains[name, cut] = sum(left) ** 2 / len(left) + sum(right) ** 2 / len(right)
+    name, cut = max(gains, key=gains.get)
+    root = model.trees[0]._java_obj.rootNode() if hasattr(model.trees[0], "_java_obj") else model._java_obj.trees()[0].rootNode()
+    assert ("b", "flag")[root.split().featureIndex()] == name and cut <= root.split().threshold() < cut + 1
+    with pytest.raises(Exception, match="null or not a number"):
+        boosting.fit(frame.withColumn("b", F.when(F.col("a") > 3, F.col("b"))), names, "label", "split", **settings)
