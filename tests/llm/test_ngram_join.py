@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from perilake.llm import ngram_join
 from perilake.llm.components import Forest, components
 from perilake.llm.ngram_join import ngram_links, one_of_each
 
@@ -88,6 +90,29 @@ def test_one_stays(spark):
     assert one_of_each(frame.limit(0)).collect() == [] and result(frame.limit(0)) == []
 
 
+def test_texts_with_common_passages_make_no_cluster(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = [[f"p{i}_{rng.randrange(10**6)}" for _ in range(60)] for i in range(61)]
+    rows = [(i, " ".join(passages[i] + [f"u{i}_{k}" for k in range(200)] + passages[i + 1])) for i in range(60)]
+    rows += [(100 + i, near(rng, rows[i][1].split(), 3)) for i in range(2)]
+    edges = []
+
+    def counted(found, *names):
+        edges.append(found.count())
+        return components(found, *names)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    monkeypatch.setattr(ngram_join, "count_cells", lambda *_: np.ones(1 << ngram_join.CELL_BITS, dtype=np.uint64))  # as in large tables
+    assert result(make(spark, rows)) == brute(rows)
+    assert edges[0] == 2
+
+
+def test_long_lists_of_texts_are_fetched_by_marks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rows = corpus(9, 6, 5, 4) + ODD
+    assert result(make(spark, rows)) == brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(80)]
