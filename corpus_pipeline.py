@@ -1,7 +1,7 @@
 """Training-corpus pipeline: quality, repeated lines, near copies, benchmark passages, mixing.
 
 Each stage takes the rows its predecessor kept, written as Parquet and read again, so a lost
-executor repeats no finished stage. All stages but the last return the columns of ``documents``.
+executor repeats no finished stage; what a stage has read is then deleted. All stages but the last return the columns of ``documents``.
 
 Defined results, as the operators have them: documents without words are rejected by the first
 stage; rows that repeat id and text stay once after the third; an empty table gives an empty result.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perilake.llm.common import forget
 from perilake.llm.decontamination import without_passages
 from perilake.llm.line_dedup import dedup_lines
 from perilake.llm.mixing import mix_sources
@@ -60,6 +61,9 @@ ORACLE_SQL = None  # a fitted classifier, edit distances and pseudorandom draws
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    before = None  # never the input
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
+        forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,7 @@ class LineRuns:
         self.min_docs, self.fanout = min_docs, fanout
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
+        self.written: list[DataFrame] = []
 
     def add(self, run: DataFrame) -> None:
         """Merge-anti-join a batch's run with what is settled and put the rest on level 0."""
@@ -90,6 +91,7 @@ class LineRuns:
         for other in runs[1:]:
             merged = merged.unionByName(other)
         merged = durable(merged.groupBy(*KEY).agg(F.sum("__n").alias("__n")).sortWithinPartitions(*KEY))
+        self.written.append(merged)
         self.settled.append(merged.filter(F.col("__n") >= self.min_docs))
         self._place(merged.filter(F.col("__n") < self.min_docs), level + 1)
 
@@ -107,7 +109,10 @@ class LineRuns:
         out = self.settled[0]
         for other in self.settled[1:]:
             out = out.unionByName(other)
-        return durable(out.select(*KEY).sortWithinPartitions(*KEY))
+        found = durable(out.select(*KEY).sortWithinPartitions(*KEY))
+        for run in self.written:
+            forget(run)
+        return found
 
 
 def frequent_keys(documents: DataFrame, text: str, min_docs: int, min_chars: int, batches: int, fanout: int) -> DataFrame:

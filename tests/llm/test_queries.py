@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline stage by stage against plain checks of its promises."""
 
+import os
 import duckdb
 import pytest
 
@@ -91,3 +92,16 @@ def test_pipeline_on_empty_and_odd_rows(spark):
             docs = corpus_pipeline.durable(stage(spark, docs, SMALL))
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == count
     assert shingles("a b", 5)
+
+
+def test_pipeline_deletes_what_its_stages_have_read(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        return docs.filter("doc_id % 7 <> 1")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(i), stage) for i in range(4)])
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    left = [os.path.exists(d.inputFiles()[0].removeprefix("file://")) for d in seen]
+    assert left == [True, False, False, True]
